@@ -40,6 +40,12 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import round_trip
 
@@ -52,7 +58,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(write(table(spark, sf_dir, "pages")), payloads=False).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op5_pii, op6_minhash_dedup, op8_byte_bpe, op9_warc)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import detect
+
+    return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op5_pii, op6_minhash_dedup, op7_language_id, op8_byte_bpe, op9_warc, op10_toxicity)}
 
 #: A document's distinct 2-word shingles; links by exact Jaccard similarity over classes of equal sets; then reachability.
 OP6_SQL = r"""
