@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spherical import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
@@ -64,7 +70,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op5_pii, op6_minhash_dedup, op7_language_id, op8_byte_bpe, op9_warc, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_spherical_caps, op2_secret_scan, op5_pii, op6_minhash_dedup, op7_language_id, op8_byte_bpe, op9_warc, op10_toxicity)}
+
+#: Vectors of equal labels by cosine in double precision, then reachability.
+OP1_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach(u, v) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+comps AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.u = v.vec_id) AS n_links, c.component_id, c.component_id = v.vec_id AS kept
+FROM v JOIN comps c ON c.u = v.vec_id
+"""
 
 #: A document's distinct 2-word shingles; links by exact Jaccard similarity over classes of equal sets; then reachability.
 OP6_SQL = r"""
@@ -98,4 +118,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d
 """
 
-ORACLES: dict[str, str] = {"op6_minhash_dedup": OP6_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_spherical_caps": OP1_SQL, "op6_minhash_dedup": OP6_SQL, "op9_warc": OP9_SQL}
