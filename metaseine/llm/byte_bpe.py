@@ -246,18 +246,20 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256): encodes, decodes and digests each whole text in one pass."""
+def round_trip(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256[, ids]): encodes, decodes and digests each whole text in one pass."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in slices(batches, ROWS):
             n, left, right = [], [], []
-            for ids in bpe.encode_batch(b.column(1).to_pylist()):
+            encoded = bpe.encode_batch(b.column(1).to_pylist())
+            for ids in encoded:
                 n.append(len(ids))
                 left.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 right.append(hashlib.sha256(bpe.decode(ids.tolist()).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            more = [pa.array(encoded, pa.list_(pa.int32()))] if keep_ids else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string()), *more], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
 
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids).withColumnRenamed("id", id_col)

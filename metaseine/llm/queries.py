@@ -34,6 +34,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), redacted=False)
 
 
+def op3_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import replicate
+
+    return replicate(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import report
 
@@ -70,7 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_spherical_caps, op2_secret_scan, op5_pii, op6_minhash_dedup, op7_language_id, op8_byte_bpe, op9_warc, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_spherical_caps, op2_secret_scan, op3_mtree_topk, op4_poisson_mixing, op5_pii, op6_minhash_dedup, op7_language_id, op8_byte_bpe, op9_warc, op10_toxicity)}
 
 #: Vectors of equal labels by cosine in double precision, then reachability.
 OP1_SQL = r"""
@@ -86,6 +98,28 @@ SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.u = v.vec_id) AS n_links,
 FROM v JOIN comps c ON c.u = v.vec_id
 """
 
+OP3_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+#: Copies by the inverse of the Poisson distribution at a number from the MD5 of seed and id.
+OP4_SQL = r"""
+WITH RECURSIVE sizes AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY source),
+totals AS (SELECT sum(size) AS size, sum(pow(size, 0.5)) AS weight FROM sizes),
+rates AS (SELECT s.source, CASE WHEN s.size > 0 THEN pow(s.size, 0.5) / t.weight * t.size / s.size ELSE 1.0 END AS rate FROM sizes s, totals t),
+cdf(source, rate, k, p, total) AS (SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
+  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), total + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 40)),
+u AS (SELECT *, CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM u.source AND c.total <= u.u) AS n FROM u)
+SELECT doc_id, text, lang, source, n_chars, CAST(k AS INT) AS copy_no, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(k AS VARCHAR)) AS shuffle_key
+FROM (SELECT *, unnest(range(0, n)) AS k FROM n WHERE n > 0)
+"""
+
 #: A document's distinct 2-word shingles; links by exact Jaccard similarity over classes of equal sets; then reachability.
 OP6_SQL = r"""
 WITH RECURSIVE words AS (
@@ -118,4 +152,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d
 """
 
-ORACLES: dict[str, str] = {"op1_spherical_caps": OP1_SQL, "op6_minhash_dedup": OP6_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_spherical_caps": OP1_SQL, "op3_mtree_topk": OP3_SQL, "op4_poisson_mixing": OP4_SQL, "op6_minhash_dedup": OP6_SQL, "op9_warc": OP9_SQL}
