@@ -6,9 +6,10 @@ must meet in the prefix of each, the entries left when the THRESHOLD - 1 most fr
 of their frequency over all classes). Only prefix lists are merged; the skipped ones are looked up in the signatures, where
 collisions are counted in full. What passes is confirmed on full sets.
 
-Lists of many near copies do not make all pairs. First each class is held against the first of its list, and confirmed links
-are gathered into components. Only pairs of different components then remain to be compared, list by list, long lists in
-blocks. Classes far apart in size are never compared, for their similarity is bounded by the ratio of their sizes.
+Pairs are never sent anywhere. A list names its members that have a match there (each pair counts in the first list that
+both are posted to), their full sets come to the list, and all intersections of its members are counted at once as a matrix
+product. It gives back a spanning forest of the links that hold, at most a row a member. Long lists are dealt with in blocks.
+Classes far apart in size are not compared, for their similarity is bounded by the ratio of their sizes.
 
 Null, empty and blank texts have the empty set and are linked with nothing. A text of one word has that word as its one
 shingle. Rows without an id are returned with a null component and are linked with nothing. Repeated rows share a class.
@@ -21,15 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import components, cut, keep_likely, likely, slices
 
 WORDS, SIMILARITY = 2, 0.8
 COORDINATES, THRESHOLD, SEED = 48, 25, 2011
-#: Classes that a block of a list holds, and pairs that are compared at a time.
-BLOCK, PAIRS = 1024, 1_000_000
+#: Classes that a block of a list holds, pairs that are compared at a time, and columns of a matrix product.
+BLOCK, PAIRS, COLUMNS = 512, 400_000, 8192
+#: Ids up to which those to drop are broadcast; more of them are joined.
+BROADCAST_ROWS = 1_000_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -97,103 +100,138 @@ def postings(classes: DataFrame) -> DataFrame:
     shared = entries.join(often, "entry").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "entry"))).alias("e"))
     prefix = COORDINATES - THRESHOLD + 1
     rare = F.greatest(F.lit(0), F.size("e") - (COORDINATES - prefix))  # entries that no other class has come first
-    kept = shared.select("rep", F.explode(F.slice("e", 1, rare)).alias("e")).select("rep", F.col("e.entry").alias("list"), F.ceil(F.col("e.c") / BLOCK).cast("int").alias("blocks"))
-    kept = kept.join(classes.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep")
+    kept = shared.select("rep", F.slice("e", 1, rare).alias("e")).where(F.size("e") > 0)
+    mask = F.aggregate("e", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x["entry"], 32).cast("int"))))
+    kept = kept.withColumn("mask", mask).join(classes.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep").select("rep", "mask", "n", "sig", F.explode("e").alias("e"))
+    kept = kept.select("rep", "mask", "n", "sig", F.col("e.entry").alias("list"), F.ceil(F.col("e.c") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
-    return kept.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("side"), "rep", "n", "sig")
+    return kept.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("side"), "rep", "mask", "n", "sig")
 
 
-def _pairs(rows: dict[str, np.ndarray], start: np.ndarray, mode: str, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, collisions) of the pairs of rows to confirm; ``start`` is where each row's group begins."""
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups (list, low, high) from batches in their order."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        same = np.logical_and.reduce([table.column(k).to_numpy() == table.column(k)[-1].as_py() for k in ("list", "low", "high")])
+        at = int(np.argmax(same))  # the last group may go on in the next batch
+        held = table.slice(at)
+        if at:
+            yield table.slice(0, at).combine_chunks()
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Where the group of each row begins."""
+    new = np.logical_or.reduce([np.diff(table.column(k).to_numpy()) != 0 for k in ("list", "low", "high")])
+    return np.maximum.accumulate(np.where(np.concatenate(([True], new)), np.arange(table.num_rows), 0))
+
+
+def _matched(rows: dict[str, np.ndarray], start: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether each row has a match in its group that no earlier list of both rows has."""
     n = len(start)
     index = np.arange(n)
-    if mode == "star":
-        before = (index > start).astype(np.int64)
-    else:
-        before = index - start
-    out = []
+    before = index - start
     ends = np.cumsum(before)
+    found = np.zeros(n, bool)
+    bit = np.arange(COORDINATES)
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
         k = before[at:to]
         j = np.repeat(index[at:to], k)
         i = np.repeat(start[at:to], k) + (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
-        good = rows["comp"][i] != rows["comp"][j]
-        good &= (rows["low"][i] == rows["high"][i]) | (rows["side"][i] != rows["side"][j]) | (mode == "star")
-        small, large = np.minimum(rows["n"][i], rows["n"][j]), np.maximum(rows["n"][i], rows["n"][j])
-        good &= small >= similarity * large - 1e-9
+        good = (rows["low"][i] == rows["high"][i]) | (rows["side"][i] != rows["side"][j])
+        good &= np.minimum(rows["n"][i], rows["n"][j]) >= similarity * np.maximum(rows["n"][i], rows["n"][j]) - 1e-9
         i, j = i[good], j[good]
-        hits = np.concatenate([(rows["sig"][i[p : p + 65536]] == rows["sig"][j[p : p + 65536]]).sum(axis=1) for p in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
-        good = hits >= THRESHOLD
-        i, j, hits = i[good], j[good], hits[good]
-        if mode == "best" and len(i):
-            ca, cb = np.minimum(rows["comp"][i], rows["comp"][j]), np.maximum(rows["comp"][i], rows["comp"][j])
-            order = np.lexsort((rows["rep"][j], rows["rep"][i], -hits, cb, ca))
-            first = np.concatenate(([True], (np.diff(ca[order]) != 0) | (np.diff(cb[order]) != 0)))
-            i, j, hits = i[order][first], j[order][first], hits[order][first]
-        out.append((i, j, hits))
+        for p in range(0, len(i), 65536):
+            x, y = i[p : p + 65536], j[p : p + 65536]
+            same = rows["sig"][x] == rows["sig"][y]
+            enough = same.sum(axis=1) >= THRESHOLD
+            x, y, same = x[enough], y[enough], same[enough]
+            posted = (((rows["mask"][x] & rows["mask"][y])[:, None] >> bit) & 1).astype(bool) & same
+            first = posted.argmax(axis=1) == rows["list"][x] >> 32
+            found[x[first]] = found[y[first]] = True
         at = to
-    return tuple(np.concatenate(x) for x in zip(*out))
-
+    return found
 
-def candidates(posted: DataFrame, mode: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) pairs of classes of different components that collide often enough.
 
-    ``star``: each class with the first of its block pair; ``best``: the pair with most collisions for each two components
-    that meet; ``all``: every pair.
-    """
+def matched_members(posted: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(list, low, high, side, rep): the members of lists that collide often enough with another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["list", "low", "high", "side", "rep", "n", "comp"]
-        held: pa.Table | None = None
-
-        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            rows = {k: table.column(k).to_numpy() for k in names}
+        for table in _by_group(batches):
+            rows = {k: table.column(k).to_numpy() for k in ("list", "low", "high", "side", "n", "mask")}
             rows["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.int32).reshape(-1, COORDINATES)
-            new = np.concatenate(([True], (np.diff(rows["list"]) != 0) | (np.diff(rows["low"]) != 0) | (np.diff(rows["high"]) != 0)))
-            start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            i, j, hits = _pairs(rows, start, mode, similarity)
-            if len(i):
-                cols = {"a": np.minimum(rows["rep"][i], rows["rep"][j]), "b": np.maximum(rows["rep"][i], rows["rep"][j]), "ca": np.minimum(rows["comp"][i], rows["comp"][j]), "cb": np.maximum(rows["comp"][i], rows["comp"][j]), "hits": hits.astype(np.int64)}
-                yield pa.RecordBatch.from_pydict(cols)
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            last = {k: table.column(k)[-1] for k in ("list", "low", "high")}
-            same = np.logical_and.reduce([table.column(k).to_numpy() == v.as_py() for k, v in last.items()])
-            cut_at = int(np.argmax(same))  # the last group may go on in the next batch
-            held = table.slice(cut_at)
-            if cut_at:
-                yield from work(table.slice(0, cut_at).combine_chunks())
-        if held is not None:
-            yield from work(held.combine_chunks())
-
-    ordered = posted.select("list", "low", "high", "side", "rep", "n", "comp", "sig").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high", "rep")
-    found = ordered.mapInArrow(run, "a long, b long, ca long, cb long, hits long")
-    if mode == "best":
-        return found.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("a"), -F.col("b"))).alias("p")).select("p.*").distinct()
-    return found.select("a", "b").distinct()
-
-
-def confirm(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+            yield from table.select(["list", "low", "high", "side", "rep"]).filter(pa.array(_matched(rows, _starts(table), similarity))).to_batches()
+
+    ordered = posted.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high", "rep")
+    return ordered.mapInArrow(run, "list long, low int, high int, side boolean, rep long")
+
+
+def _forest(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Edges (root, member) of a spanning forest of the links among ``sets``; with ``side``, of those between its two sides."""
+    size = np.array([len(x) for x in sets])
+    every, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    column, member = np.unique(column[shared], return_inverse=True)[1], member[shared]
+    order = np.argsort(column, kind="stable")
+    column, member = column[order], member[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+        part[member[a:b], column[a:b] - at] = 1
+        common += part @ part.T
+    links = 100 * common >= percent * (size[:, None] + size - common)
+    if side is not None:
+        links &= side[:, None] != side
+    left = np.ones(len(sets), bool)
+    edges = []
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root] = False
+        edge = np.array([root])
+        while len(edge):
+            edge = np.flatnonzero(links[edge].any(axis=0) & left)
+            left[edge] = False
+            edges += [(root, int(x)) for x in edge]
+    return edges
+
+
+def confirmed_links(members: DataFrame, documents: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(a, b): for each list a spanning forest of the pairs whose full sets are similar enough."""
+    wanted = members.select("rep").distinct()
     texts = keep_likely(documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null"), "rep", likely(wanted, "rep"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [shingle_hashes(t, words).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "set"])
 
-    sets = texts.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, set array<long>")
-    sets = cut(sets, "sets")
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    percent = round(100 * similarity)
-    return both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_group(piece for b in batches for piece in slices(iter([b]), 4096)):
+            start = _starts(table)
+            heads = np.flatnonzero(start == np.arange(len(start)))
+            reps, column = table.column("rep").to_numpy(), table.column("set").combine_chunks()
+            offset, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            low, high, sides = (table.column(k).to_numpy() for k in ("low", "high", "side"))
+            out: list[tuple[int, int]] = []
+            for a, b in zip(heads, [*heads[1:], len(start)]):
+                if b - a > 1:
+                    sets = [flat[offset[i] : offset[i + 1]] for i in range(a, b)]
+                    out += [(reps[a + x], reps[a + y]) for x, y in _forest(sets, None if low[a] == high[a] else sides[a:b], round(100 * similarity))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    sets = texts.join(wanted, "rep", "left_semi").mapInArrow(hashed, "rep long, set array<long>")
+    placed = members.join(sets, "rep").select("list", "low", "high", "side", "rep", "set").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high", "rep")
+    return placed.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -201,31 +239,29 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     ``component_id`` is the smallest id that links reach, ``kept`` whether that is the row's own.
     """
-    spark = documents.sparkSession
     slim = cut(signatures(documents, id_col, text_col, words), "signatures")
     usable = slim.where("key is not null and id is not null")
     classes = cut(usable.groupBy("key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
     posted = cut(postings(classes), "postings")
-    links, comps = None, None
-    for mode in ("star", "best", "all"):
-        if comps is None:
-            marked = posted.withColumn("comp", F.col("rep"))
-        else:
-            marked = posted.join(comps, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
-        pairs = cut(candidates(marked, mode, similarity), "pairs")
-        if pairs.isEmpty():
-            break
-        found = cut(confirm(pairs, documents, id_col, text_col, words, similarity), "links")
-        if found.isEmpty():
-            if mode == "star":
-                continue
-            if mode == "all":
-                break
-            continue
-        links = found if links is None else links.union(found)
-        comps = components(links)
-    if comps is None:
-        comps = spark.createDataFrame([], "node long, component long")
+    members = cut(matched_members(posted, similarity), "members")
+    comps = components(confirmed_links(members, documents, id_col, text_col, words, similarity))
     named = usable.select("id", "n_shingles", "key").join(classes.select("key", "rep"), "key").join(comps, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     rest = slim.where("key is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     return named.unionByName(rest).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``documents`` without those whose group has a document of a smaller id; all columns stay.
+
+    Rows without an id stay. Of rows that share an id one stays, whichever comes first by its columns' hash.
+    """
+    found = near_duplicates(documents, id_col, text_col, words, similarity).where(F.col(id_col).isNotNull())
+    ids = cut(found.groupBy(F.col(id_col).alias("__id")).agg(F.min(F.col("kept").cast("int")).alias("__kept"), F.count("*").alias("__n")).where("__kept = 0 or __n > 1"), "dropped")
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    rest = documents.join(small.select("__id"), F.col(id_col) == F.col("__id"), "left_anti")
+    again = ids.where("__kept = 1").select("__id")
+    if again.isEmpty():
+        return rest
+    order = Window.partitionBy("__id").orderBy(F.xxhash64(*documents.columns))
+    one = documents.join(again, F.col(id_col) == F.col("__id")).withColumn("__k", F.row_number().over(order)).where("__k = 1")
+    return rest.unionByName(one.select(*documents.columns))
