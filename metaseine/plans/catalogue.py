@@ -1,4 +1,318 @@
-"""The engine's queries over the provided tables and their SQL."""
+"""The engine's operators as queries over the provided tables, and SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import human_size, matches_glob
+from ..operators import graph, match
+from ..operators.match import SearchSpec, matches, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as entities, their turns as units labelled by role."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("entity"), F.col("turn").alias("unit_ord"), F.col("role").alias("label"), "text")
+
+
+def _hits(found: DataFrame, entity: str) -> DataFrame:
+    return found.select(F.col("entity").alias(entity), F.posexplode("hits").alias("k", "h")).select(entity, F.col("h.term").alias("term"), F.col("h.label").alias("label"), F.col("h.snippet").alias("snippet"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'the', 'is')")
+def q_term_ci(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(matches(F.col("text"), "the")).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'The', 's')")
+def q_term_cs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(matches(F.col("text"), "The", case_sensitive=True)).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'é', 'is')")
+def q_term_accent(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(matches(F.col("text"), "É")).select("doc_id")
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, 'er[a-z]{2,4}sh', 'is')")
+def q_regex(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(matches(F.col("text"), "er[a-z]{2,4}sh", regex=True)).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'copyright', 'is') OR regexp_matches(text, 'rights', 'is') OR regexp_matches(text, 'idiot', 'is')")
+def q_any(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.where(matches(F.col("text"), "copyright") | matches(F.col("text"), "rights") | matches(F.col("text"), "idiot")).select("doc_id")
+
+
+@query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(regexp_matches(text, 'shh', 'is')) AND bool_or(regexp_matches(text, 'ble', 'is'))")
+def q_scope_image_all(spark, sf_dir):
+    return search(turns(spark, sf_dir), SearchSpec(("shh", "ble"), snippets=False)).select(F.col("entity").alias("conv_id"))
+
+
+@query("SELECT DISTINCT conv_id FROM conversations WHERE regexp_matches(text, 'sh', 'is') AND regexp_matches(text, 'ble', 'is')")
+def q_scope_field_all(spark, sf_dir):
+    return search(turns(spark, sf_dir), SearchSpec(("sh", "ble"), scope="field", snippets=False)).select(F.col("entity").alias("conv_id"))
+
+
+@query("SELECT DISTINCT conv_id FROM conversations WHERE regexp_matches(text, 'shh', 'is') OR regexp_matches(text, 'tha', 'is')")
+def q_scope_field_any(spark, sf_dir):
+    return search(turns(spark, sf_dir), SearchSpec(("shh", "tha"), scope="field", mode="any", snippets=False)).select(F.col("entity").alias("conv_id"))
+
+
+_ANY = """WITH u AS (SELECT conv_id, turn, role, regexp_matches(text, 'shh', 'is') AS a, regexp_matches(text, 'edst', 'is') AS b FROM conversations),
+f AS (SELECT conv_id, min(turn) AS turn FROM u WHERE a OR b GROUP BY conv_id)
+SELECT u.conv_id, CAST(t.term AS INT) AS term, u.role AS label FROM u JOIN f USING (conv_id, turn), (VALUES (0), (1)) t(term) WHERE (t.term = 0 AND u.a) OR (t.term = 1 AND u.b)"""
+
+
+@query(_ANY)
+def q_any_image(spark, sf_dir):
+    return _hits(search(turns(spark, sf_dir), SearchSpec(("shh", "edst"), mode="any", snippets=False)), "conv_id").select("conv_id", "term", "label")
+
+
+@query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(regexp_matches(text, 'shh', 'is')) AND NOT bool_or(regexp_matches(text, 'edst', 'is'))")
+def q_not(spark, sf_dir):
+    return search(turns(spark, sf_dir), SearchSpec(("shh",), ("edst",), snippets=False)).select(F.col("entity").alias("conv_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(lang, 'en', 'is') OR regexp_matches(source, 'en', 'is')")
+def q_fields_filter(spark, sf_dir):
+    units = match.unpivot(table(spark, sf_dir, "documents"), "doc_id", ["text", "lang", "source"])
+    return search(units, SearchSpec(("en",), fields=("LANG", "Source"), snippets=False)).select(F.col("entity").alias("doc_id"))
+
+
+@query("""SELECT doc_id AS entity, 0 AS unit_ord, 'lang' AS label, lang AS text FROM documents UNION ALL
+SELECT doc_id, 1, 'source', source FROM documents UNION ALL SELECT doc_id, 2, 'n_chars', CAST(n_chars AS VARCHAR) FROM documents""")
+def q_unpivot_fields(spark, sf_dir):
+    return match.unpivot(table(spark, sf_dir, "documents"), "doc_id", ["lang", "source", "n_chars"])
+
+
+_SNIPPET = """WITH m AS (SELECT doc_id, text, strpos(lower(text), 'sh') AS p FROM documents WHERE regexp_matches(text, 'sh', 'is')),
+w AS (SELECT doc_id, text, greatest(p - 1 - 46, 0) AS low, least(p - 1 + 2 + 70, length(text)) AS high FROM m)
+SELECT doc_id, CASE WHEN low > 0 THEN '…' ELSE '' END || replace(regexp_replace(substring(text, CAST(low + 1 AS INT), CAST(high - low AS INT)), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]+', ' ', 'g'), chr(10), ' ') || CASE WHEN high < length(text) THEN '…' ELSE '' END AS snippet FROM w"""
+
+
+@query(_SNIPPET)
+def q_snippet(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(matches(F.col("text"), "sh"))
+    return d.select("doc_id", match.snippet(F.col("text"), match.term_pattern("sh")).alias("snippet"))
+
+
+@query("SELECT conv_id, arg_min(role, turn) AS label FROM conversations WHERE regexp_matches(text, 'shh', 'is') GROUP BY conv_id")
+def q_first_hit(spark, sf_dir):
+    return _hits(search(turns(spark, sf_dir), SearchSpec(("shh",), snippets=False)), "conv_id").select("conv_id", "label")
+
+
+_PER_TERM = """WITH u AS (SELECT conv_id, turn, role, regexp_matches(text, 'shh', 'is') AS a, regexp_matches(text, 'ble', 'is') AS b FROM conversations),
+g AS (SELECT conv_id, arg_min(role, turn) FILTER (WHERE a) AS la, arg_min(role, turn) FILTER (WHERE b) AS lb FROM u GROUP BY conv_id HAVING bool_or(a) AND bool_or(b))
+SELECT conv_id, CAST(0 AS INT) AS term, la AS label FROM g UNION ALL SELECT conv_id, 1, lb FROM g"""
+
+
+@query(_PER_TERM)
+def q_hits_per_term(spark, sf_dir):
+    return _hits(search(turns(spark, sf_dir), SearchSpec(("shh", "ble"), snippets=False)), "conv_id").select("conv_id", "term", "label")
+
+
+@query("SELECT conv_id, turn AS unit_ord FROM conversations WHERE regexp_matches(text, 'sh', 'is') AND regexp_matches(text, 'ble', 'is')")
+def q_field_hits(spark, sf_dir):
+    units = turns(spark, sf_dir).withColumn("label", F.col("unit_ord").cast("string"))
+    return _hits(search(units, SearchSpec(("sh", "ble"), scope="field", snippets=False)), "conv_id").select("conv_id", F.col("label").cast("long").alias("unit_ord"))
+
+
+@query("SELECT event_id, unnest(json_keys(props)) AS field, json_extract_string(props, '$.' || unnest(json_keys(props))) AS text FROM events")
+def q_json_fields(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("field", "text"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND CAST(json_extract_string(props, '$.k') AS INT) % 7 = 0")
+def q_input_filter(spark, sf_dir):
+    named = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: F.lower(k).isin("k"))
+    e = table(spark, sf_dir, "events").select("event_id", F.element_at(F.map_values(named), 1).alias("value"))
+    return e.where(F.col("value").isNotNull() & (F.col("value").cast("int") % 7 == 0))
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'promo') OR contains(lower(p_type), 'small')")
+def q_node_type(spark, sf_dir):
+    wanted = F.array(F.lit("promo"), F.lit("small"))
+    return table(spark, sf_dir, "part").where(F.exists(wanted, lambda t: F.contains(F.lower("p_type"), t))).select("p_partkey", "p_type")
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
+def q_links_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+
+
+def _order_graph(spark, sf_dir):
+    """One graph: customers, and orders of high price that point at them."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1") & (F.col("o_totalprice") > 300000))
+    edges = o.select(F.lit(0).alias("graph"), F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
+    nodes = table(spark, sf_dir, "customer").select(F.lit(0).alias("graph"), F.concat(F.lit("c"), "c_custkey").alias("node"))
+    return nodes.union(edges.select("graph", "src")), edges
+
+
+@query("""WITH o AS (SELECT * FROM orders WHERE o_orderpriority LIKE '1%' AND o_totalprice > 300000)
+SELECT 'c' || c_custkey AS node FROM customer WHERE EXISTS (SELECT 1 FROM o WHERE o_custkey = c_custkey)
+UNION ALL SELECT 'o' || o_orderkey FROM o WHERE EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey)""")
+def q_linked(spark, sf_dir):
+    nodes, edges = _order_graph(spark, sf_dir)
+    return graph.linked(nodes, edges).select("node")
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def q_live_links(spark, sf_dir):
+    live = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(live, "o_orderkey", "left_semi").select("o_orderkey")
+
+
+@query("SELECT s_suppkey AS src, c_custkey AS dst FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey <= 20")
+def q_name_join(spark, sf_dir):
+    setters = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("name"))
+    getters = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dst"), F.col("c_nationkey").alias("name"))
+    return setters.join(getters, "name").select("src", "dst")
+
+
+@query("""SELECT DISTINCT 'o' || o_orderkey AS src, 'n' || c_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000""")
+def q_contract(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders").where("o_totalprice > 400000"), table(spark, sf_dir, "customer")
+    edges = o.selectExpr("0 graph", "'o' || o_orderkey src", "'c' || o_custkey dst").union(c.selectExpr("0", "'c' || c_custkey", "'n' || c_nationkey"))
+    via = c.selectExpr("0 graph", "'c' || c_custkey node")
+    return graph.contract(edges, via).where("src like 'o%'").select("src", "dst")
+
+
+_REACH = """WITH RECURSIVE e(src, dst) AS (SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_acctbal > 9000
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+r(node) AS (SELECT DISTINCT dst FROM e WHERE dst IN (SELECT 'r' || r_regionkey FROM region WHERE r_name IN ('ASIA', 'EUROPE')) UNION SELECT e.src FROM r JOIN e ON e.dst = r.node)
+SELECT node FROM r"""
+
+
+@query(_REACH)
+def q_reach_output(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    edges = c.where("c_acctbal > 9000").selectExpr("0 graph", "'c' || c_custkey src", "'n' || c_nationkey dst").union(n.selectExpr("0", "'n' || n_nationkey", "'r' || n_regionkey"))
+    seeds = r.where("r_name in ('ASIA', 'EUROPE')").selectExpr("0 graph", "'r' || r_regionkey node")
+    return graph.reaching(edges, seeds).select("node")
+
+
+@query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def q_anti_done(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("""SELECT d.doc_id, l.doc_id IS NOT NULL AS cached FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id""")
+def q_cache_join(spark, sf_dir):
+    held = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("cached"))
+    return table(spark, sf_dir, "documents").join(held, "doc_id", "left").select("doc_id", F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def q_dedupe(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("target"))
+    return match.distinct_targets(d, "target", "doc_id").select("doc_id")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def q_upsert_latest(spark, sf_dir):
+    return match.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type")
+def q_kind_hist(spark, sf_dir):
+    return match.histogram(table(spark, sf_dir, "events"), F.col("event_type"))
+
+
+@query("SELECT lang || '/' || source AS kind, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, kind LIMIT 3")
+def q_top3(spark, sf_dir):
+    return match.top(match.histogram(table(spark, sf_dir, "documents"), F.concat("lang", F.lit("/"), "source")), 3)
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2 HAVING NOT bool_or(event_type = 'error')")
+def q_folder_complete(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return match.completed(e, ["user_id", "day"], F.col("event_type") == "error")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-09 00:00:00'")
+def q_since_until(spark, sf_dir):
+    from ..functions.columns import parse_when
+
+    since, until = parse_when("2024-01-05"), parse_when("2024-01-08", end_of_day=True)
+    return table(spark, sf_dir, "events").where((F.col("ts") >= F.lit(str(since)).cast(_type(spark, sf_dir, "events", "ts"))) & (F.col("ts") < F.lit(str(until)).cast(_type(spark, sf_dir, "events", "ts")))).select("event_id")
+
+
+def _type(spark, sf_dir, name, column):
+    return table(spark, sf_dir, name).schema[column].dataType
+
+
+@query("SELECT doc_id FROM documents WHERE NOT regexp_full_match(lower(source), 'src1.*')")
+def q_glob_exclude(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(~matches_glob(F.col("source"), "SRC1*")).select("doc_id")
+
+
+_CLASSIFY = r"""SELECT doc_id, CASE WHEN length(text) = 0 THEN 'empty file' WHEN ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) LIKE '<%' THEN 'HTML or XML text (an error page saved as an image?)'
+WHEN ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) LIKE '{%' OR ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) LIKE '[%' THEN 'JSON text'
+WHEN regexp_full_match(hex(encode(text))[1:128], '((09|0A|0D|[2-6][0-9A-F]|7[0-9A-E]))*') THEN 'plain text' ELSE 'unrecognised content' END AS category FROM documents"""
+
+
+@query(_CLASSIFY)
+def q_classify(spark, sf_dir):
+    from ..functions.columns import describe_unreadable
+
+    raw = F.encode("text", "UTF-8")
+    d = table(spark, sf_dir, "documents").select("doc_id", describe_unreadable(F.substring(raw, 1, 64), F.octet_length(raw).cast("long")).alias("d"))
+    return d.select("doc_id", F.substring_index("d", ";", 1).alias("category"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || ' B' ELSE printf('%.1f', n_chars / 1024.0) || ' KB' END AS size FROM documents")
+def q_human_size(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", human_size(F.col("n_chars")).alias("size"))
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '[^/.][^/]*\.([^./]*)$', 1)) AS ext FROM pages WHERE lower(regexp_extract(url, '[^/.][^/]*\.([^./]*)$', 1)) NOT IN ('com', '')")
+def q_ext_filter(spark, sf_dir):
+    from ..functions.columns import suffix
+
+    return table(spark, sf_dir, "pages").select("page_id", suffix(F.col("url")).alias("ext")).where(~F.col("ext").isin("com", ""))
+
+
+_FLAT = """WITH n AS (SELECT doc_id, source || '/' || lang || '.png' AS path FROM documents),
+f AS (SELECT doc_id, replace(path, '/', '__') AS flat, row_number() OVER (PARTITION BY replace(path, '/', '__') ORDER BY doc_id) - 1 AS k FROM n)
+SELECT doc_id, CASE WHEN k = 0 THEN flat ELSE replace(flat, '.png', '') || '_' || k || '.png' END AS link_name FROM f"""
+
+
+@query(_FLAT)
+def q_flatten_name(spark, sf_dir):
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.concat("source", F.lit("/"), "lang", F.lit(".png")), "/", "__").alias("flat"))
+    k = F.row_number().over(Window.partitionBy("flat").orderBy("doc_id")) - 1
+    return d.select("doc_id", F.when(k == 0, F.col("flat")).otherwise(F.concat(F.regexp_replace("flat", r"\.png$", ""), F.lit("_"), k.cast("string"), F.lit(".png"))).alias("link_name"))
+
+
+@query("""SELECT count(*) AS scanned, count(*) FILTER (WHERE regexp_matches(text, 'rights', 'is')) AS matched, count(DISTINCT lang) AS kinds, count(*) - count(DISTINCT text) AS duplicates FROM documents""")
+def q_run_report(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", matches(F.col("text"), "rights").alias("hit"), F.sha2("text", 256).alias("key"))
+    by = d.groupBy("key", "lang").agg(F.count("*").alias("n"), F.count_if("hit").alias("m"))
+    return by.agg(F.sum("n").alias("scanned"), F.sum("m").alias("matched"), F.count_distinct("lang").alias("kinds"), (F.sum("n") - F.count_distinct("key")).alias("duplicates"))
+
+
+from . import fixtures_queries  # noqa: E402,F401  (registers the queries over built files and graphs)
