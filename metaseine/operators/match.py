@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +43,6 @@ class SearchSpec:
     broken: bool = False
     deep: bool = False
     snippets: bool = True
-    compiled: tuple[str, ...] = field(init=False, repr=False, default=())
 
     def __post_init__(self):
         if self.mode not in ("all", "any"):
@@ -64,11 +63,6 @@ class SearchSpec:
             except re.error as x:
                 raise SearchError(f"bad regular expression {t!r}: {x}") from None
 
-    @property
-    def ascii_only(self) -> bool:
-        """Whether texts need no normalisation: all that is looked for is ASCII and literal."""
-        return not self.regex and all(t.isascii() for t in (*self.terms, *self.excluded))
-
 
 def term_pattern(term: str, regex: bool = False, case_sensitive: bool = False) -> str:
     """The engine's regular expression for a term: dot matches newlines, case by Unicode, classes by Unicode in a regex."""

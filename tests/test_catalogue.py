@@ -1,0 +1,31 @@
+import glob
+import os
+
+import pytest
+
+from metaseine.plans.catalogue import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+duckdb = pytest.importorskip("duckdb")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        c.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    return c
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, duck, name):
+    got = QUERIES[name](spark, SF)
+    rows = sorted(str(tuple(str(r[c]) for c in sorted(got.columns))) for r in got.collect())
+    if name in ORACLES:
+        want = duck.sql(ORACLES[name])
+        order = [want.columns.index(c) for c in sorted(want.columns)]
+        assert sorted(got.columns) == sorted(want.columns)
+        assert rows == sorted(str(tuple(str(r[i]) for i in order)) for r in want.fetchall())
+    else:
+        assert rows
