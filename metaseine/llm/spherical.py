@@ -47,8 +47,8 @@ class ProductCode:
         for p in self.parts:
             book = r.standard_normal((WORDS, len(p)))
             self.books.append(book / np.linalg.norm(book, axis=1, keepdims=True))
-        if length < 2:
-            self.limit = -np.inf  # all in one filter
+        if length < 8:  # too few directions to tell vectors apart by
+            self.limit = -np.inf  # all in one filter, which is exact
             return
         trial = r.standard_normal((64, length))
         trial /= np.linalg.norm(trial, axis=1, keepdims=True)
