@@ -10,10 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The suffixes searched by default.
-IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "jpe", "jfif", "webp", "gif", "tif", "tiff", "bmp", "apng", "mpo", "psd", "heic", "heif", "avif", "jp2", "j2k", "ico", "tga", "ppm", "dds")
-VIDEO_SUFFIXES = ("mp4", "m4v", "mov", "webm", "mkv")
+IMAGE_SUFFIXES = ("jpg", "jpeg", "jpe", "png", "gif", "tif", "tiff", "webp", "bmp", "heic", "heif", "avif", "jp2", "dng", "cr2", "nef", "arw", "orf", "rw2", "raf", "psd", "ico")
+VIDEO_SUFFIXES = ("mp4", "mov", "m4v", "webm", "mkv")
 #: Units of a relative age and the date forms read.
-AGE_UNITS = {"m": 60, "h": 3600, "d": 86400, "w": 604800}
+AGE_UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 DATE_FORMS = ("%Y-%m-%d", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S")
 
 
@@ -44,7 +44,7 @@ def matches_glob(name: Column, pattern: str) -> Column:
 def parse_when(text: str, end_of_day: bool = False, now: datetime | None = None) -> datetime:
     """A date, a date and time, or an age such as 30m, 12h, 3d, 1.5w before now. A bare date as an end is the midnight after it."""
     text = text.strip()
-    age = re.fullmatch(r"(\d+(?:\.\d+)?)\s*([mhdw])", text, re.IGNORECASE)
+    age = re.fullmatch(r"(\d+(?:\.\d+)?)\s*([smhdw])", text, re.IGNORECASE)
     if age:
         return (now or datetime.now()) - timedelta(seconds=float(age[1]) * AGE_UNITS[age[2].lower()])
     for form in DATE_FORMS:

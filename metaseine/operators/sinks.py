@@ -31,11 +31,16 @@ def write_csv(rows: DataFrame, out: TextIO) -> None:
         writer.writerow(["" if v is None else v for v in r])
 
 
-def write_paths(results: DataFrame, out: TextIO, end: str = "\n", verbose: bool = False) -> None:
+def write_paths(results: DataFrame, out: TextIO, end: str = "\n", verbose: bool = False, show: bool = False) -> None:
+    """A path a line; verbose adds hits and originals, show adds the summary, aligned to the longest name."""
     for r in results.orderBy("path").toLocalIterator():
         out.write(r["path"] + end)
-        if verbose and end == "\n":
-            shown = [(h["label"], h["snippet"]) for h in r["hits"]] + ([("original", r["original"])] if r["original"] else [])
+        shown = []
+        if verbose:
+            shown += [(h["label"], h["snippet"]) for h in r["hits"]] + ([("original", r["original"])] if r["original"] else [])
+        if show and r["flat"]:
+            shown += [(k, r["flat"][k]) for k in SUMMARY_COLUMNS if r["flat"][k]]
+        if shown and end == "\n":
             width = max(len(k) for k, _ in shown)
             out.writelines(f"    {k:<{width}}  {v}\n" for k, v in shown)
 
@@ -68,7 +73,7 @@ def link_names(results: DataFrame, root: str, flatten: bool = False) -> DataFram
 WAYS = {"symlink": ("symlink",), "hardlink": ("hardlink",), "copy": ("copy",), "auto": ("symlink", "hardlink", "copy")}
 
 
-def make_link(source: str, folder: str, name: str, way: str = "symlink") -> str:
+def make_link(source: str, folder: str, name: str, way: str = "symlink", dates: bool = True) -> str:
     """Link or copy a file into a folder; a link there to the same file is used again, another name is taken for a clash."""
     os.makedirs(folder, exist_ok=True)
     stem, ext = os.path.splitext(name)
@@ -88,14 +93,15 @@ def make_link(source: str, folder: str, name: str, way: str = "symlink") -> str:
             else:
                 shutil.copyfile(source, place)
                 stat = os.stat(source)
-                os.utime(place, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+                if dates:
+                    os.utime(place, ns=(stat.st_atime_ns, stat.st_mtime_ns))
             return place
         except OSError as x:
             failed = x
     raise failed
 
 
-def link_all(results: DataFrame, root: str, folder: str, way: str = "symlink", flatten: bool = False) -> DataFrame:
+def link_all(results: DataFrame, root: str, folder: str, way: str = "symlink", flatten: bool = False, dates: bool = True) -> DataFrame:
     """``results`` with link: the names are settled relationally, the files are made in the tasks, each in one attempt's order."""
     from pyspark.sql.types import StringType, StructField, StructType
 
@@ -108,7 +114,7 @@ def link_all(results: DataFrame, root: str, folder: str, way: str = "symlink", f
         import pyarrow as pa
 
         for b in batches:
-            made = [make_link(p, folder, n, way) for p, n in zip(b.column(at).to_pylist(), b.column(last).to_pylist())]
+            made = [make_link(p, folder, n, way, dates) for p, n in zip(b.column(at).to_pylist(), b.column(last).to_pylist())]
             keep = [i for i in range(b.num_columns) if i != last]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(made, pa.string())], names=[*(b.schema.names[i] for i in keep), "link"])
 

@@ -18,8 +18,11 @@ class ParameterMismatch(ValueError):
 
 
 class ResultsLog:
-    def __init__(self, spark: SparkSession, path: str, params: dict):
+    def __init__(self, spark: SparkSession, path: str, params: dict, fresh: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
+        if fresh:  # start over
+            place = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         held = self._read("params", "value string")
         before = json.loads(held.first()[0]) if not held.isEmpty() else None
         if before is None:

@@ -124,8 +124,10 @@ def test_streaming_and_command_line(spark, folder, tmp_path):
     watch(spark, folder, SearchSpec(("sunset",)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {os.path.basename(r["path"]) for r in spark.read.parquet(str(tmp_path / "out" / "hits")).collect()} >= {"a.png", "c.mp4"}
     out = io.StringIO()
-    assert cli.main([folder, "sunset", "--json"], out) == 0
+    assert cli.main([folder, "sunset", "-r", "--json"], out) == 0
     assert json.loads(out.getvalue())["matched"] == 2
     assert cli.main([folder, "nowhere to be found", "-0"], io.StringIO()) == 1
     assert cli.main([folder], io.StringIO()) == 2 and cli.main([folder, "(", "--regex"], io.StringIO()) == 2
-    assert cli.main([folder, "a", "--link-dir", folder + "/sub"], io.StringIO()) == 2
+    assert cli.main([folder, "a", "-r", "--link-dir", folder + "/sub"], io.StringIO()) == 2
+    out = io.StringIO()
+    assert cli.main([folder, "dog", "-v", "--show", "--errors"], out) == 0 and "models" in out.getvalue() and "unreadable" not in out.getvalue()
