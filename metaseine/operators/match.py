@@ -154,6 +154,8 @@ def distinct_targets(rows: DataFrame, target: str, *order: Column | str) -> Data
     """One row for each ``target``: the first by ``order`` (a minimum of structs, pre-aggregated before the shuffle)."""
     rest = [c for c in rows.columns if c != target]
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    if len(rest) == len(keys) == 1:  # plain values aggregate by hash, structs by sort
+        return rows.groupBy(target).agg(F.min_by(rest[0], keys[0]).alias(rest[0])).select(*rows.columns)
     picked = rows.groupBy(target).agg(F.min_by(F.struct(*rest), F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))).alias("__r"))
     return picked.select(*(F.col(target) if c == target else F.col(f"__r.{c}").alias(c) for c in rows.columns))
 
