@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep_likely, likely, slices
+from ._shared import bounded, cut, keep_likely, likely, slices
 
 #: log2 of the tables' width, the absolute discount in continuation counts, the words of a window.
 WORD_BITS, DISCOUNT, WINDOW = 21, 3.0, 2
@@ -47,15 +47,18 @@ def pair_keys(ids: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], ids[:-1])) << 32 | ids if len(ids) else ids
 
 
-def log_ratios(ordinary: np.ndarray, toxic: np.ndarray, both: np.ndarray) -> np.ndarray:
-    """log p(word | toxic) - log p(word | ordinary) by bucket, from the numbers of different left neighbours."""
-    shared = (both + 1 / len(both)) / (both.sum() + 1)
-    logs = []
-    for types in (ordinary, toxic):
-        total = types.sum()
-        kept = np.maximum(types - DISCOUNT, 0)
-        logs.append(np.log((kept + (total - kept.sum()) * shared) / total) if total else np.log(shared))
-    return (logs[1] - logs[0]).astype(np.float32)
+def log_ratio_table(table: DataFrame) -> np.ndarray:
+    """log p(word | toxic) - log p(word | ordinary) by bucket, from (w, o, t, n): the numbers of different left neighbours in
+    ordinary, in toxic and in both kinds of documents. The driver gets one 32-bit number for each bucket met."""
+    kept = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) for c in "ot"}
+    total = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in "otn"), *(F.coalesce(F.sum(k), F.lit(0.0)).alias(f"kept_{c}") for c, k in kept.items())).first()
+    shared = (F.col("n") + 2.0**-WORD_BITS) / (total["n"] + 1)
+    logs = {c: F.log((k + (total[c] - total[f"kept_{c}"]) * shared) / total[c]) if total[c] else F.log(shared) for c, k in kept.items()}
+    rest = {c: np.log((total[c] - total[f"kept_{c}"]) / total[c]) if total[c] and total[c] > total[f"kept_{c}"] else 0.0 for c in "ot"}
+    out = np.full(1 << WORD_BITS, rest["t"] - rest["o"], np.float32)  # of words never met: what the discounts left to the backoff
+    got = table.select("w", (logs["t"] - logs["o"]).cast("float").alias("r")).toArrow()
+    out[got.column("w").to_numpy()] = got.column("r").to_numpy()
+    return out
 
 
 @dataclass
@@ -95,14 +98,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
     """Learn from the documents with a label where ``learn``, a condition on ``id_col``, holds."""
+    documents = bounded(documents)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     known = known.groupBy("id").agg(F.max((F.col("y") == 1).cast("int")).alias("y"))
     rows = documents.where(learn & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     part = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(PART)) == 0
-    rows = keep_likely(rows, "id", likely(known, "id"))  # before texts are shuffled
+    # labels have no bound: they are never broadcast, but a filter of a fixed size keeps texts without one out of the shuffle
+    rows = keep_likely(rows, "id", likely(known, "id"))
 
     def types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096):
+        for b in slices(batches, 1024, 4):
             y = b.column(1).to_numpy()
             keys: list[list[np.ndarray]] = [[], []]
             for text, k in zip(b.column(0).to_pylist(), y):
@@ -112,11 +117,11 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
                     found = np.unique(np.concatenate(keys[k]))
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), k + 1, np.int8))], names=["key", "seen"])
 
-    kinds = rows.where(~part).join(known, "id").select("text", "y").mapInArrow(types, "key long, seen byte").groupBy("key").agg(F.bit_or("seen").alias("seen"))
+    kinds = rows.where(~part).join(known.hint("merge"), "id").select("text", "y").mapInArrow(types, "key long, seen byte").groupBy("key").agg(F.bit_or("seen").alias("seen"))
     seen = F.col("seen")
-    table = kinds.groupBy((F.col("key").bitwiseAND((1 << WORD_BITS) - 1)).cast("int").alias("w")).agg(F.sum(seen.bitwiseAND(1)).alias("o"), F.sum(F.shiftright(seen.cast("int"), 1)).alias("t"), F.count("*").alias("n")).toPandas()
-    counts = {c: np.bincount(table["w"].to_numpy(np.int64), weights=table[c].to_numpy(np.float64), minlength=1 << WORD_BITS) for c in "otn"}
-    model = ToxicityModel(log_ratios(counts["o"], counts["t"], counts["n"]))
+    word = F.col("key").bitwiseAND((1 << WORD_BITS) - 1).cast("int")
+    table = cut(kinds.groupBy(word.alias("w")).agg(F.sum(seen.bitwiseAND(1)).alias("o"), F.sum(F.shiftright(seen.cast("int"), 1)).alias("t"), F.count("*").alias("n")), "continuations")
+    model = ToxicityModel(log_ratio_table(table))
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +134,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
     for share, where in ((PART, part), (1, F.lit(True))):  # a table too small for a part of its own: all learned rows
         rate = {k: min(1.0, 1.7 * share * per_class / max(1, sizes.get(k, 0))) for k in (0, 1)}
         wanted = known.where(where & (u < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])))
-        chosen = keep_likely(rows.where(where), "id", likely(wanted, "id")).join(wanted, "id").select(F.xxhash64("id", F.lit(29)).alias("h"), "text", "y")
+        chosen = keep_likely(rows.where(where), "id", likely(wanted, "id")).join(wanted.hint("merge"), "id").select(F.xxhash64("id", F.lit(29)).alias("h"), "text", "y")
         got = chosen.mapInArrow(measure, "h long, y int, a double, b double").toPandas()
         if len(set(got["y"])) == 2:
             got = got.sort_values(["h", "y", "a", "b"])
