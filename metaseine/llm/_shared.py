@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,14 +51,39 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of an Arrow batch between the engine and a worker, for tables with long texts.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold no more than BATCH_BYTES, so that workers' memory does not follow text lengths."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch(r"(\d+)b?", df.sparkSession.conf.get(name))
+    if not held or not 0 < int(held[1]) <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, mb: int = 16) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``rows`` rows and about ``mb`` MB, so that long texts stay bounded."""
+    """The batches in pieces of at most ``rows`` rows and about ``mb`` MB, so that long texts stay bounded.
+
+    After the last one memory that is no longer used goes back to the system: workers live on for other tasks.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         step = max(1, min(rows, int(batch.num_rows * mb * 1e6 / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def crc_bucket(column: str, buckets: int):

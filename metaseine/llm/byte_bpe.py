@@ -3,7 +3,7 @@
 The distinct pre-tokens that a batch adds are laid out in one array of symbols. An index maps each adjacent pair with a
 merge rank to all its positions; active ranks are applied in ascending order, each to all its positions, and the lists of
 the neighbouring pairs get the new positions. Stale positions are told by the symbols that stand there. Pre-tokens
-already encoded by the worker come from a bounded memo.
+already encoded in the task come from a bounded memo.
 
 Nulls encode as the empty text. The text of the special token becomes its id, as the library does by default.
 """
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import slices
+from ._shared import bounded, give_back, slices
 
 #: The published pre-token pattern of this family of vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,10 +32,10 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 SETTLED = "\\u0000-\\u0557\\u0600-\\u06ff\\u0900-\\u0977\\u2000-\\u2064\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fcc\\uac00-\\ud7a3\\uff01-\\uff5e"
 #: Texts of these code points alone take a splitter with its classes written out, several times as fast.
 LATIN = "\u0000-\u024f\u2010-\u2027"
-#: Pre-tokens that a worker remembers, and symbols that one occurrence index covers.
-MEMO, SYMBOLS = 600_000, 2_000_000
-#: Documents that a batch takes at most; the texts of a batch hold at most about 16 MB.
-ROWS = 4096
+#: Pre-tokens that a task remembers, and symbols that one occurrence index covers.
+MEMO, SYMBOLS = 200_000, 500_000
+#: Documents that a batch takes at most, and MB of their texts.
+ROWS, MB = 2048, 8
 
 
 def byte_symbols() -> dict[int, str]:
@@ -226,11 +226,13 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in slices(batches, ROWS):
+        for b in slices(batches, ROWS, MB):
             ids = bpe.encode_batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+        bpe.forget()
+        give_back()
 
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return bounded(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -252,7 +254,7 @@ def round_trip(documents: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in slices(batches, ROWS):
+        for b in slices(batches, ROWS, MB):
             n, left, right = [], [], []
             encoded = bpe.encode_batch(b.column(1).to_pylist())
             for ids in encoded:
@@ -261,5 +263,7 @@ def round_trip(documents: DataFrame, path: str, id_col: str = "doc_id", text_col
                 right.append(hashlib.sha256(bpe.decode(ids.tolist()).encode("utf-8")).hexdigest())
             more = [pa.array(encoded, pa.list_(pa.int32()))] if keep_ids else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string()), *more], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
+        bpe.forget()  # the memo serves one task, for the worker goes on to other stages
+        give_back()
 
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids).withColumnRenamed("id", id_col)
+    return bounded(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids).withColumnRenamed("id", id_col)

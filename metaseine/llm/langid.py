@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import slices
+from ._shared import bounded, slices
 
 BITS, ORDERS = 16, (1, 2, 3)
 #: The bound of the sample that weights and temperature are fitted on, and the share of it kept for the temperature.
@@ -137,7 +137,7 @@ def fit(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
 
     Document frequencies are summed over all of them; the sample for the weights is bounded by ``per_language``.
     """
-    rows = documents.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"))
+    rows = bounded(documents).where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(1 << BITS, np.int64), 0
@@ -176,7 +176,7 @@ def fit(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
 def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``documents`` with lang_pred and score, which replace columns of these names."""
     held = documents.sparkSession.sparkContext.broadcast(model)
-    kept = documents.drop("lang_pred", "score")
+    kept = bounded(documents).drop("lang_pred", "score")
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

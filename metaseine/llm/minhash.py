@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, cut, keep_likely, likely, slices
+from ._shared import bounded, components, cut, keep_likely, likely, slices
 
 WORDS, SIMILARITY = 2, 0.8
 COORDINATES, THRESHOLD, SEED = 48, 25, 2011
@@ -78,7 +78,7 @@ def signatures(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sigs.append(signature(h, a, b).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n_shingles", "key", "sig"])
 
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, key binary, sig binary")
+    return bounded(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, key binary, sig binary")
 
 
 def _entries(classes: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import slices
+from ._shared import bounded, slices
 
 #: The patterns of the base kinds, in their order; the limit is for the group named or the whole match.
 ASSIGN = r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -126,7 +126,7 @@ def scan(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=names)
 
     schema = f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long" + ", redacted string" * redacted
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return bounded(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def redact_column(documents: DataFrame, path: str, text_col: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
@@ -143,4 +143,4 @@ def redact_column(documents: DataFrame, path: str, text_col: str = "text", max_r
                 clean.append(redact(text, spans) if spans else text)
             yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return bounded(documents).mapInArrow(run, documents.schema)

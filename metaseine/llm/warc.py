@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, fresh_path, slices
+from ._shared import bounded, cut, fresh_path, slices
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n"
@@ -136,7 +136,7 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, level
             stream.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return cut(with_originals(pages, min_bytes).mapInArrow(run, "path string, records long"), "manifest")
+    return cut(with_originals(bounded(pages), min_bytes).mapInArrow(run, "path string, records long"), "manifest")
 
 
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
