@@ -15,7 +15,6 @@ part; vectors of different lengths are not compared. Ties go to the smaller id.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +47,8 @@ class Node:
         away = np.sqrt(((rows - centre).astype(np.float64) ** 2).sum(axis=1))
         self.radius = float(away.max(initial=0))
         if len(rows) <= LEAF:
-            self.rows, self.ids, self.away = rows, ids, away
+            order = np.argsort(ids, kind="stable")
+            self.rows, self.ids, self.away = rows[order], ids[order], away[order]
             return
         picks = rows[np.linspace(0, len(rows) - 1, FANOUT).astype(int)]
         apart = ((rows.astype(np.float64)[:, None, :] - picks.astype(np.float64)) ** 2).sum(axis=2) if len(rows) * FANOUT * rows.shape[1] < 5e6 else np.stack([((rows.astype(np.float64) - p) ** 2).sum(axis=1) for p in picks], axis=1)
@@ -62,50 +62,80 @@ class Node:
                 self.children.append(Node(c, rows[p], ids[p], float(np.sqrt(((c - centre).astype(np.float64) ** 2).sum()))))
 
 
-def _margin(x: float) -> float:
-    return x + 1e-6 * (1 + abs(x))
+def _margin(x: np.ndarray) -> np.ndarray:
+    """``x`` with room for rounding."""
+    return x + 1e-6 * (1 + np.abs(x))
 
 
-def search(root: Node, query: np.ndarray, own: int | None, k: int, floor: float) -> list[tuple[int, int]]:
-    """The k best (score, id) of a tree that reach ``floor``, but for the id ``own``."""
-    norm = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
-    best: list[tuple[int, int]] = []  # a heap of (score, -id)
-    at = int(dots(root.centre[None], query[None])[0, 0])
-    todo = [(-_margin(at + norm * root.radius), 0, at, root)]
-    count = 0
+LEAST = np.iinfo(np.int64).min
+
+
+def search(root: Node, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids), each queries by k, of the best rows of a tree that reach each query's ``floor``, but for its ``own`` id.
+
+    All queries go down the tree together: a node computes the products of its children's centres with those queries alone that the
+    stored distances let in. Then each query visits the leaves it reached in the order of their bounds, the k-th score found
+    so far closing the rest; leaves serve the queries that come to them in the same round at once.
+    """
+    m = len(queries)
+    norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+    floor = floor.astype(np.float64).copy()
+    scores, ids = np.full((m, k), LEAST), np.zeros((m, k), np.int64)
+    leaves: list[Node] = []
+    reached: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # query, leaf, product with the centre, bound
+    at = dots(root.centre[None], queries)[0]
+    todo = [(root, np.arange(m), at, _margin(at + norm * root.radius))]
     while todo:
-        bound, _, at, node = heapq.heappop(todo)
-        if -bound < floor:
-            break
-        if node.children:
-            for child in node.children:
-                if _margin(at + norm * (child.parent + child.radius)) < floor:
-                    continue  # by the stored distance
-                score = int(dots(child.centre[None], query[None])[0, 0])
-                limit = _margin(score + norm * child.radius)
-                if limit >= floor:
-                    count += 1
-                    heapq.heappush(todo, (-limit, count, score, child))
+        node, who, at, bound = todo.pop()
+        open_ = bound >= floor[who]
+        who, at, bound = who[open_], at[open_], bound[open_]
+        if not len(who):
             continue
-        limit = at + norm * node.away
-        near = np.flatnonzero(limit + 1e-6 * (1 + np.abs(limit)) >= floor)
-        if not len(near):
+        if not node.children:
+            reached.append((who, np.full(len(who), len(leaves)), at, bound))
+            leaves.append(node)
             continue
-        scores = dots(node.rows[near], query[None])[:, 0]
-        ids = node.ids[near]
-        if own is not None:
-            scores, ids = scores[ids != own], ids[ids != own]
-        if len(scores) > k:
-            order = np.lexsort((ids, -scores))[:k]
-            scores, ids = scores[order], ids[order]
-        for s, i in zip(scores.tolist(), ids.tolist()):
-            if len(best) < k:
-                heapq.heappush(best, (s, -i))
-            elif (s, -i) > best[0]:
-                heapq.heapreplace(best, (s, -i))
-        if len(best) == k:
-            floor = max(floor, best[0][0])
-    return [(s, -i) for s, i in best if s >= floor]
+        for child in node.children:
+            near = _margin(at + norm[who] * (child.parent + child.radius)) >= floor[who]  # by the stored distance
+            some = who[near]
+            if len(some):
+                product = dots(child.centre[None], queries[some])[0]
+                todo.append((child, some, product, _margin(product + norm[some] * child.radius)))
+    if not reached:
+        return scores, ids
+    who, leaf, at, bound = (np.concatenate(x) for x in zip(*reached))
+    order = np.lexsort((leaf, -bound, who))
+    who, leaf, at, bound = who[order], leaf[order], at[order], bound[order]
+    first = np.searchsorted(who, np.arange(m))
+    last = np.searchsorted(who, np.arange(m), "right")
+    for step in range(int((last - first).max())):
+        here = first + step
+        live = np.flatnonzero(here < last)
+        live = live[bound[here[live]] >= floor[live]]
+        if not len(live):
+            break
+        for n in np.unique(leaf[here[live]]):
+            q = live[leaf[here[live]] == n]
+            node = leaves[n]
+            limit = _margin(at[here[q]][:, None] + norm[q][:, None] * node.away)
+            near = np.flatnonzero((limit >= floor[q][:, None]).any(axis=0))  # entries that no query needs are not computed
+            if not len(near):
+                continue
+            got = dots(queries[q], node.rows[near])
+            got[(node.ids[near] == own[q][:, None]) | (got < floor[q][:, None])] = LEAST
+            names = np.broadcast_to(node.ids[near], got.shape)
+            width = got.shape[1]
+            if width > k and np.abs(got, where=got > LEAST, out=np.zeros_like(got)).max(initial=0) < 2**50:
+                # the k best of each query: entries lie in the order of their ids, so the place breaks ties
+                key = np.where(got > LEAST, got * width + (width - 1 - np.arange(width)), LEAST)
+                best = np.argpartition(key, width - k, axis=1)[:, width - k :]
+                got, names = np.take_along_axis(got, best, 1), np.take_along_axis(names, best, 1)
+            both = np.concatenate((scores[q], got), axis=1)
+            names = np.concatenate((ids[q], names), axis=1)
+            best = np.lexsort((names, ~both), axis=1)[:, :k]
+            scores[q], ids[q] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+            floor[q] = np.where(scores[q][:, -1] > LEAST, np.maximum(floor[q], scores[q][:, -1]), floor[q])
+    return scores, ids
 
 
 class Pages:
@@ -152,23 +182,26 @@ def _visit(rows: DataFrame, k: int) -> DataFrame:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             kind, ident, floor = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(5).to_numpy()
             flat, offset = b.column(4).values.to_numpy(), b.column(4).offsets.to_numpy()
-            out: list[tuple[int, int, int]] = []
-            for i, key in enumerate(keys):
-                v = flat[offset[i] : offset[i + 1]]
-                if key != unit:
-                    unit, tree, ids, parts = key, None, [], []
-                if kind[i] == 0:
-                    ids.append(ident[i])
-                    parts.append(v.copy())
-                    continue
-                if tree is None and parts:
-                    x = np.stack(parts)
-                    tree = Node(x[len(x) // 2], x, np.array(ids), 0.0)
-                    parts = []
-                if tree is not None:
-                    out += [(int(ident[i]), j, s) for s, j in search(tree, v, int(ident[i]), k, float(floor[i]))]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+            at = 0
+            while at < len(keys):  # a run of rows of one unit and kind
+                to = at
+                while to < len(keys) and keys[to] == keys[at] and kind[to] == kind[at]:
+                    to += 1
+                if keys[at] != unit:
+                    unit, tree, ids, parts = keys[at], None, [], []
+                run_of = flat[offset[at] : offset[to]].reshape(to - at, -1)
+                if kind[at] == 0:
+                    ids.append(ident[at:to].copy())
+                    parts.append(run_of.copy())
+                elif parts or tree is not None:
+                    if tree is None:
+                        x = np.concatenate(parts)
+                        tree, parts = Node(x[len(x) // 2], x, np.concatenate(ids), 0.0), []
+                    scores, found = search(tree, run_of, ident[at:to], k, floor[at:to])
+                    row, column = np.nonzero(scores > LEAST)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([pa.array(ident[at:to][row]), pa.array(found[row, column]), pa.array(scores[row, column])], names=["query_id", "vec_id", "score"])
+                at = to
 
     return rows.repartition("unit", "block").sortWithinPartitions("unit", "block", "kind", "id").mapInArrow(run, "query_id long, vec_id long, score long")
 
