@@ -8,9 +8,9 @@ bigram counts as a further order remember copied documents; on held-out rows the
 
 A stretch of text has the difference of the two log-likelihoods a word, and a document the greatest value of this over its
 windows, for toxic passages are short and texts long. That and the mean over the whole document give the score through a
-logistic curve, fitted on learned rows that the counts leave out.
+logistic curve, fitted on a part of the learned rows with counts that leave this part out.
 
-Counts cover every other learned row. They come from the bigram types of the corpus, which grow with it, and are summed
+The counts of the final scores cover all learned rows. They come from the bigram types of the corpus, which grow with it, and are summed
 into tables of a fixed width by a hash of the word. Null, empty and blank texts score as texts without evidence. Where either
 class could not be learned, every score is 0. Labels of a document given twice count as toxic if one does; labels without a
 document, null labels and rows without an id are left out.
@@ -108,21 +108,23 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
 
     def types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024, 4):
-            y = b.column(1).to_numpy()
-            keys: list[list[np.ndarray]] = [[], []]
-            for text, k in zip(b.column(0).to_pylist(), y):
-                keys[k].append(pair_keys(word_ids(text)))
-            for k in (0, 1):
-                if keys[k]:
-                    found = np.unique(np.concatenate(keys[k]))
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), k + 1, np.int8))], names=["key", "seen"])
-
-    kinds = rows.where(~part).join(known.hint("merge"), "id").select("text", "y").mapInArrow(types, "key long, seen byte").groupBy("key").agg(F.bit_or("seen").alias("seen"))
+            keys: dict[int, list[np.ndarray]] = {}
+            for text, bit in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keys.setdefault(bit, []).append(pair_keys(word_ids(text)))
+            for bit, some in keys.items():
+                found = np.unique(np.concatenate(some))
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), bit, np.int8))], names=["key", "seen"])
+
+    # bits: 1 ordinary, 2 toxic; 4 and 8 the same in the part that the curve is fitted on
+    bit = ((F.col("y") + 1) * F.when(part, 4).otherwise(1)).cast("int")
+    kinds = rows.join(known.hint("merge"), "id").select("text", bit.alias("bit")).mapInArrow(types, "key long, seen byte").groupBy("key").agg(F.bit_or("seen").cast("int").alias("seen"))
     seen = F.col("seen")
     word = F.col("key").bitwiseAND((1 << WORD_BITS) - 1).cast("int")
-    table = cut(kinds.groupBy(word.alias("w")).agg(F.sum(seen.bitwiseAND(1)).alias("o"), F.sum(F.shiftright(seen.cast("int"), 1)).alias("t"), F.count("*").alias("n")), "continuations")
+    has = lambda mask: F.sum((seen.bitwiseAND(mask) != 0).cast("long"))
+    table = cut(kinds.groupBy(word.alias("w")).agg(has(5).alias("o"), has(10).alias("t"), F.count("*").alias("n"), has(1).alias("fit_o"), has(2).alias("fit_t"), has(3).alias("fit_n")), "continuations")
+    fitted = table.where("fit_n > 0").select("w", F.col("fit_o").alias("o"), F.col("fit_t").alias("t"), F.col("fit_n").alias("n"))
     model = ToxicityModel(log_ratio_table(table))
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    held = documents.sparkSession.sparkContext.broadcast(ToxicityModel(log_ratio_table(fitted)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -398,3 +398,20 @@ def test_toxicity(spark, monkeypatch):
     assert all(x["predicted"] == int(x["score"] >= 0.7) for x in got.values())
     assert toxicity.detect(empty_documents(spark), table).count() == 0
     assert {x["score"] for x in toxicity.detect(docs.limit(20), table.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_counts_the_rows_of_the_curve(spark):
+    r = random.Random(11)
+    plain = [f"word{i}" for i in range(200)]
+    part = {x["id"] for x in spark.range(800).where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(toxicity.PART)) == 0).collect()}
+    rows = []
+    for i in range(800):
+        words = r.choices(plain, k=30)
+        for _ in range(4 if i % 4 == 0 else 0):
+            words.insert(r.randrange(len(words)), "schuft" if i in part else "grobian")
+        rows.append((i, " ".join(words), "en", "s", 1))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), labels, F.lit(True))
+    asked = spark.createDataFrame([(0, "word1 schuft word2 word3", "en", "s", 1), (1, "word1 word4 word2 word3", "en", "s", 1)], DOCS)
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(asked, model).collect()}
+    assert got == {0: 1, 1: 0}
