@@ -11,7 +11,8 @@ windows, for toxic passages are short and texts long. That and the mean over the
 logistic curve, fitted on a part of the learned rows with counts that leave this part out.
 
 The counts of the final scores cover all learned rows. They come from the bigram types of the corpus, which grow with it, and are summed
-into tables of a fixed width by a hash of the word. Null, empty and blank texts score as texts without evidence. Where either
+by 64-bit keys of the words in a written table that grows too. Up to 2**WORD_BITS words are sent to the executors; more of
+them are joined to the distinct words of each document. Null, empty and blank texts score as texts without evidence. Where either
 class could not be learned, every score is 0. Labels of a document given twice count as toxic if one does; labels without a
 document, null labels and rows without an id are left out.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._shared import bounded, cut, keep_likely, likely, slices
 
-#: log2 of the tables' width, the absolute discount in continuation counts, the words of a window.
+#: log2 of the number of words up to which a table is broadcast (more are joined), the absolute discount in continuation counts, the words of a window.
 WORD_BITS, DISCOUNT, WINDOW = 21, 3.0, 2
 #: The bound of the sample of learned rows that the logistic curve is fitted on, of each class; one row in so many may be in it.
 PER_CLASS, PART = 3000, 4
@@ -38,48 +39,114 @@ _words = re.compile(r"[^\W_]+").findall
 
 
 def word_ids(text: str | None) -> np.ndarray:
-    """32-bit hashes of the words of a text, in lower case."""
-    return np.array([xxhash.xxh32_intdigest(w) for w in _words((text or "").lower())], np.int64)
+    """64-bit hashes of the words of a text, in lower case."""
+    return np.array([xxhash.xxh64_intdigest(w) for w in _words((text or "").lower())], np.uint64).view(np.int64)
 
 
-def pair_keys(ids: np.ndarray) -> np.ndarray:
-    """Each word with the one before it; the first stands after a mark of its own (0)."""
-    return np.concatenate(([0], ids[:-1])) << 32 | ids if len(ids) else ids
+def pair_types(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (word, 32 bits of the word before it) of some texts; the first word stands after a mark of its own (0)."""
+    words = np.concatenate(ids)
+    before = np.concatenate([np.concatenate(([0], x[:-1])) for x in ids if len(x)] or [words]).astype(np.int32)
+    order = np.lexsort((before, words))
+    words, before = words[order], before[order]
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | (before[1:] != before[:-1])
+    return words[new], before[new]
 
 
-def log_ratio_table(table: DataFrame) -> np.ndarray:
-    """log p(word | toxic) - log p(word | ordinary) by bucket, from (w, o, t, n): the numbers of different left neighbours in
-    ordinary, in toxic and in both kinds of documents. The driver gets one 32-bit number for each bucket met."""
+def log_ratio_table(table: DataFrame) -> tuple[DataFrame, float]:
+    """(w, r) with r = log p(word | toxic) - log p(word | ordinary), and the r of words that are not in the table, from (w, o, t, n):
+    the numbers of different left neighbours in ordinary, in toxic and in both kinds of documents. Words with the r of unknown ones are left out."""
     kept = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) for c in "ot"}
     total = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in "otn"), *(F.coalesce(F.sum(k), F.lit(0.0)).alias(f"kept_{c}") for c, k in kept.items())).first()
-    shared = (F.col("n") + 2.0**-WORD_BITS) / (total["n"] + 1)
+    shared = (F.col("n") + 2.0**-21) / (total["n"] + 1)
     logs = {c: F.log((k + (total[c] - total[f"kept_{c}"]) * shared) / total[c]) if total[c] else F.log(shared) for c, k in kept.items()}
     rest = {c: np.log((total[c] - total[f"kept_{c}"]) / total[c]) if total[c] and total[c] > total[f"kept_{c}"] else 0.0 for c in "ot"}
-    out = np.full(1 << WORD_BITS, rest["t"] - rest["o"], np.float32)  # of words never met: what the discounts left to the backoff
-    got = table.select("w", (logs["t"] - logs["o"]).cast("float").alias("r")).toArrow()
-    out[got.column("w").to_numpy()] = got.column("r").to_numpy()
-    return out
+    # a word that keeps neither count has what the discounts left to the backoff, as unknown words do
+    told = (kept["o"] > 0) | (kept["t"] > 0)
+    return table.where(told).select("w", (logs["t"] - logs["o"]).cast("float").alias("r")), float(rest["t"] - rest["o"])
 
 
 @dataclass
-class ToxicityModel:
-    ratios: np.ndarray = field(repr=False)
-    weights: np.ndarray | None = None  # of the two measures and 1; none: nothing was learned
+class Ratios:
+    """Log ratios by word: arrays in the order of the words where these are few, else the written table."""
+
+    table: DataFrame
+    unknown: float
+    held: tuple[np.ndarray, np.ndarray] | None = None
+
+    @staticmethod
+    def of(counts: DataFrame, name: str) -> Ratios:
+        table, unknown = log_ratio_table(counts)
+        out = Ratios(cut(table, name), unknown)
+        if out.table.count() <= 1 << WORD_BITS:
+            got = out.table.orderBy("w").toArrow()
+            out.held = got.column("w").to_numpy(), got.column("r").to_numpy()
+        return out
+
+
+def look_up(ids: np.ndarray, words: np.ndarray, ratios: np.ndarray, unknown: float) -> np.ndarray:
+    """The log ratio of each id from those of ``words``, which are in order."""
+    if not len(words):
+        return np.full(len(ids), unknown)
+    at = np.minimum(np.searchsorted(words, ids), len(words) - 1)
+    return np.where(words[at] == ids, ratios[at], np.float32(unknown)).astype(np.float64)
+
+
+def measures(r: np.ndarray) -> tuple[float, float]:
+    """(greatest mean over a window, mean over all) of the words' log ratios."""
+    if not len(r):
+        return 0.0, 0.0
+    total = np.concatenate(([0.0], np.cumsum(r)))
+    w = min(WINDOW, len(r))
+    return float((total[w:] - total[:-w]).max() / WINDOW), float(r.mean())
+
+
+def measured(documents: DataFrame, ratios: Ratios, text_col: str) -> DataFrame:
+    """``documents`` without the text and with its two measures __a and __b, which replace columns of these names."""
+    from .langid import _schema
 
-    def measures(self, text: str | None) -> tuple[float, float]:
-        """(greatest mean over a window, mean over all) of the words' log ratios."""
-        ids = word_ids(text)
-        if not len(ids):
-            return 0.0, 0.0
-        r = self.ratios[ids & (len(self.ratios) - 1)].astype(np.float64)
-        total = np.concatenate(([0.0], np.cumsum(r)))
-        w = min(WINDOW, len(r))
-        return float((total[w:] - total[:-w]).max() / WINDOW), float(r.mean())
+    unknown = ratios.unknown
+    rows = documents.drop("__a", "__b")
+    if ratios.held is not None:
+        held = documents.sparkSession.sparkContext.broadcast(ratios.held)
+        at = rows.columns.index(text_col)
 
-    def score(self, text: str | None) -> float:
-        if self.weights is None:
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.weights @ np.array([*self.measures(text), 1.0]), -30, 30))))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                got = [measures(look_up(word_ids(t), *held.value, unknown)) for t in b.column(at).to_pylist()]
+                rest = [i for i in range(b.num_columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *(pa.array([g[k] for g in got], pa.float64()) for k in (0, 1))], names=[*(b.schema.names[i] for i in rest), "__a", "__b"])
+
+        return rows.mapInArrow(run, _schema(rows.drop(text_col), "__a double, __b double"))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = np.unique(word_ids(text))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row, np.int64)), pa.array(words)], names=["__row", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            got = []
+            for text, found in zip(b.column(1).to_pylist(), b.column(2)):
+                found = found.values  # none: null
+                w, r = (found.field(k).to_numpy() for k in (0, 1)) if found is not None else (np.empty(0, np.int64), np.empty(0, np.float32))
+                order = np.argsort(w)
+                got.append(measures(look_up(word_ids(text), w[order], r[order], unknown)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.float64()) for k in (0, 1))], names=["__row", "__a", "__b"])
+
+    # the numbers of the rows must stay: they are written once
+    rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    known = rows.select("__row", F.col(text_col).alias("text")).mapInArrow(distinct, "__row long, w long").join(ratios.table.hint("merge"), "w").groupBy("__row").agg(F.collect_list(F.struct("w", "r")).alias("found"))
+    both = rows.select("__row", F.col(text_col).alias("text")).join(known.hint("merge"), "__row", "left").select("__row", "text", "found").mapInArrow(run, "__row long, __a double, __b double")
+    return rows.drop(text_col).join(both.hint("merge"), "__row").drop("__row")
+
+
+@dataclass
+class ToxicityModel:
+    ratios: Ratios = field(repr=False)
+    weights: np.ndarray | None = None  # of the two measures and 1; none: nothing was learned
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -110,26 +177,20 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
         for b in slices(batches, 1024, 4):
             keys: dict[int, list[np.ndarray]] = {}
             for text, bit in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys.setdefault(bit, []).append(pair_keys(word_ids(text)))
+                keys.setdefault(bit, []).append(word_ids(text))
             for bit, some in keys.items():
-                found = np.unique(np.concatenate(some))
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), bit, np.int8))], names=["key", "seen"])
+                words, before = pair_types(some)
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(before), pa.array(np.full(len(words), bit, np.int8))], names=["w", "before", "seen"])
 
     # bits: 1 ordinary, 2 toxic; 4 and 8 the same in the part that the curve is fitted on
     bit = ((F.col("y") + 1) * F.when(part, 4).otherwise(1)).cast("int")
-    kinds = rows.join(known.hint("merge"), "id").select("text", bit.alias("bit")).mapInArrow(types, "key long, seen byte").groupBy("key").agg(F.bit_or("seen").cast("int").alias("seen"))
+    kinds = rows.join(known.hint("merge"), "id").select("text", bit.alias("bit")).mapInArrow(types, "w long, before int, seen byte").groupBy("w", "before").agg(F.bit_or("seen").cast("int").alias("seen"))
     seen = F.col("seen")
-    word = F.col("key").bitwiseAND((1 << WORD_BITS) - 1).cast("int")
     has = lambda mask: F.sum((seen.bitwiseAND(mask) != 0).cast("long"))
-    table = cut(kinds.groupBy(word.alias("w")).agg(has(5).alias("o"), has(10).alias("t"), F.count("*").alias("n"), has(1).alias("fit_o"), has(2).alias("fit_t"), has(3).alias("fit_n")), "continuations")
+    table = cut(kinds.groupBy("w").agg(has(5).alias("o"), has(10).alias("t"), F.count("*").alias("n"), has(1).alias("fit_o"), has(2).alias("fit_t"), has(3).alias("fit_n")), "continuations")
     fitted = table.where("fit_n > 0").select("w", F.col("fit_o").alias("o"), F.col("fit_t").alias("t"), F.col("fit_n").alias("n"))
-    model = ToxicityModel(log_ratio_table(table))
-    held = documents.sparkSession.sparkContext.broadcast(ToxicityModel(log_ratio_table(fitted)))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            got = [held.value.measures(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got]), pa.array([g[1] for g in got])], names=["h", "y", "a", "b"])
+    model = ToxicityModel(Ratios.of(table, "ratios"))
+    fitted = Ratios.of(fitted, "fitted")
 
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     u = F.shiftrightunsigned(F.xxhash64("id", F.lit(29)), 11) / F.lit(float(1 << 53))
@@ -137,7 +198,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
         rate = {k: min(1.0, 1.7 * share * per_class / max(1, sizes.get(k, 0))) for k in (0, 1)}
         wanted = known.where(where & (u < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])))
         chosen = keep_likely(rows.where(where), "id", likely(wanted, "id")).join(wanted.hint("merge"), "id").select(F.xxhash64("id", F.lit(29)).alias("h"), "text", "y")
-        got = chosen.mapInArrow(measure, "h long, y int, a double, b double").toPandas()
+        got = measured(chosen, fitted, "text").toPandas().rename(columns={"__a": "a", "__b": "b"})
         if len(set(got["y"])) == 2:
             got = got.sort_values(["h", "y", "a", "b"])
             got = got.groupby("y").head(per_class)
@@ -156,14 +217,31 @@ def score(documents: DataFrame, model: ToxicityModel, text_col: str = "text", th
     """``documents`` with score and predicted, which replace columns of these names."""
     from .langid import _schema
 
-    held = documents.sparkSession.sparkContext.broadcast(model)
     kept = documents.drop("score", "predicted")
-    at = kept.columns.index(text_col)
+    if model.weights is None:
+        return kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(int(0 >= threshold))})
+    held, weights, at = model.ratios.held, model.weights, kept.columns.index(text_col)
+
+    def graded(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+        got = 1 / (1 + np.exp(-np.clip(weights[0] * a + weights[1] * b + weights[2], -30, 30)))
+        return [pa.array(got), pa.array((got >= threshold).astype(np.int32))]
+
+    if held is None:
+        text = "__text"  # the words are joined by way of a copy of the text, so that the row keeps its own
+
+        def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rest = b.columns[:-2]
+                yield pa.RecordBatch.from_arrays([*rest, *graded(*(b.column(b.num_columns - k).to_numpy() for k in (2, 1)))], names=[*b.schema.names[:-2], "score", "predicted"])
+
+        return measured(kept.withColumn(text, F.col(text_col)), model.ratios, text).mapInArrow(grade, _schema(kept, "score double, predicted int"))
+    sent = documents.sparkSession.sparkContext.broadcast(held)
+    unknown = model.ratios.unknown
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = np.array([held.value.score(t) for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+            got = np.array([measures(look_up(word_ids(t), *sent.value, unknown)) for t in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, *graded(got[:, 0], got[:, 1])], names=[*b.schema.names, "score", "predicted"])
 
     return kept.mapInArrow(run, _schema(kept, "score double, predicted int"))
 

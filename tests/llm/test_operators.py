@@ -415,3 +415,23 @@ def test_toxicity_counts_the_rows_of_the_curve(spark):
     asked = spark.createDataFrame([(0, "word1 schuft word2 word3", "en", "s", 1), (1, "word1 word4 word2 word3", "en", "s", 1)], DOCS)
     got = {x["doc_id"]: x["predicted"] for x in toxicity.score(asked, model).collect()}
     assert got == {0: 1, 1: 0}
+
+
+def test_toxicity_keeps_words_apart_and_joins_many(spark, monkeypatch):
+    r = random.Random(12)
+    plain = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        words = r.choices(plain, k=30)
+        for _ in range(4 if i % 4 == 0 else 0):
+            words.insert(r.randrange(len(words)), r.choice(["schuft", "grobian"]))
+        rows.append((i, " ".join(words), "en", "s", 1))
+    docs = spark.createDataFrame([*rows, (601, None, "en", "s", 1), (602, "", "en", "s", 1), (None, "a schuft b", "en", "s", 1)], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    scores = []
+    for bits in (21, 2):  # sent to the executors; joined
+        monkeypatch.setattr(toxicity, "WORD_BITS", bits)
+        got = toxicity.detect(docs, labels).collect()
+        assert len(got) == 603
+        scores.append({x["doc_id"]: (x["predicted"], round(x["score"], 9)) for x in got})
+    assert scores[0] == scores[1] and sum(p for p, _ in scores[0].values()) >= 140
