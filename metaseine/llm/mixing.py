@@ -9,7 +9,9 @@ source's characters to the power ``temperature``; ``budget`` is the length of th
 may be given instead (sources not named get none). Sizes are summed over all rows before they meet a document.
 
 A null source is a source of its own. A source without characters has the rate ``budget``. Null texts have no characters but are
-replicated like others. Null ids hash as the empty id. Columns called copy_no and shuffle_key are replaced. Rates up to 700.
+replicated like others. Null ids hash as the empty id. Columns called copy_no and shuffle_key are replaced.
+
+A rate above ``MOST`` is drawn as a sum of independent Poisson numbers of rates up to ``MOST``, each at a uniform number of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from ._shared import cut
 SEED, TEMPERATURE, BUDGET = 17, 0.5, 1.0
 #: Sources up to which their rates are broadcast; more of them are joined.
 BROADCAST_ROWS = 10_000
+#: The greatest rate of one draw: exp(-rate) is a normal number up to about 708.
+MOST = 500.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -42,6 +46,15 @@ def poisson_inverse(rate: Column, u: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), most), start, step, lambda acc: acc["k"])
 
 
+def poisson(rate: Column, *parts: Column) -> Column:
+    """A Poisson number of mean ``rate`` from the hash of the parts; the first of several draws is the one of a rate up to MOST."""
+    draws = F.greatest(F.ceil(rate / MOST), F.lit(1)).cast("int")
+    rest = F.sequence(F.lit(1), draws - 1)
+    more = F.aggregate(rest, F.lit(0), lambda n, i: n + poisson_inverse(rate / draws, uniform(*parts, F.lit("draw"), i.cast("string"))))
+    first = poisson_inverse(rate / draws, uniform(*parts))
+    return F.when(draws > 1, first + more).otherwise(first)
+
+
 def rates(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, budget: float = BUDGET, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(source, rate) for each source of ``documents``."""
     sizes = documents.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.coalesce(F.char_length(text_col), F.lit(0))).cast("double").alias("size"))
@@ -60,7 +73,7 @@ def replicate(documents: DataFrame, weights: dict[str, float] | None = None, tem
         small = F.broadcast(small)
     docs = documents.drop("copy_no", "shuffle_key")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    count = poisson_inverse(F.col("__rate"), uniform(F.lit(str(seed)), name))
+    count = poisson(F.col("__rate"), F.lit(str(seed)), name)
     many = docs.join(small, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__n", count).where("__n > 0")
     copies = many.withColumn("copy_no", F.explode(F.expr("sequence(0, __n - 1)"))).withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("copy_no").cast("string")).cast("binary")))
     return copies.select(*docs.columns, "copy_no", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")

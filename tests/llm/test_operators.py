@@ -435,3 +435,14 @@ def test_toxicity_keeps_words_apart_and_joins_many(spark, monkeypatch):
         assert len(got) == 603
         scores.append({x["doc_id"]: (x["predicted"], round(x["score"], 9)) for x in got})
     assert scores[0] == scores[1] and sum(p for p, _ in scores[0].values()) >= 140
+
+
+def test_mixing_at_high_rates(spark):
+    for rate in (3.5, 500.0, 800.0, 5000.0):
+        one = spark.range(300).select(mixing.poisson(F.lit(rate), F.lit("17"), F.col("id").cast("string")).alias("k")).agg(F.avg("k").alias("mean"), F.var_samp("k").alias("var")).first()
+        assert abs(one["mean"] - rate) < 5 * math.sqrt(rate / 300) and 0.6 < one["var"] / rate < 1.5, rate
+    rows = [(i, "a" * 1_000_000, None, "hot", None) for i in range(16)] + [(100 + i, "x", None, "tiny", None) for i in range(5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    rate = {r["source"]: r["rate"] for r in mixing.rates(docs).collect()}["tiny"]
+    n = mixing.replicate(docs).where("source = 'tiny'").count()
+    assert rate > 745 and abs(n - 5 * rate) < 5 * math.sqrt(5 * rate)
