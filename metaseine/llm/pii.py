@@ -7,7 +7,8 @@ documents, a term t exceeds the disclosure threshold of an entity c when
     log2(p(c, t) / (p(c) p(t))) >= log2(1 / p(c)) / alpha
 
 that is, when knowing t gives at least 1/alpha of the information that c itself carries. A pair needs ``min_texts`` distinct
-texts, for one text alone shows nothing. Where an entity is mentioned, its revealing terms are spans of kind ``term``.
+texts, for one text alone shows nothing. Terms are words of the whole document that stand in no span; wherever a revealing
+term stands, with the entity or without it, it is a span of kind ``term``.
 In sanitised text base spans are generalised to their kind and terms are removed (replaced by a mark).
 
 Null and empty texts have no spans. Spans count in code points, the end exclusive. Null and repeated ids stay. Counts are
@@ -39,13 +40,16 @@ PATTERNS = {
 KINDS = (*PATTERNS, "term")
 #: A cheap condition that every text with a valid match of the kind meets.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
-ALPHA, MIN_TEXTS, MIN_TERM, WINDOW = 1.1, 2, 3, 80
-TERM, SPLIT = r"[\p{L}\p{N}]++", r"[^\p{L}\p{N}]++"
+ALPHA, MIN_TEXTS, MIN_TERM = 1.1, 2, 3
+SPLIT = r"[^\p{L}\p{N}]++"
+#: Stands for letters and digits of spans, so that words which a span cuts are no terms.
+HIDDEN = "\ue000"
+TERM = rf"(?<![\p{{L}}\p{{N}}{HIDDEN}])\p{{L}}[\p{{L}}\p{{N}}]{{{MIN_TERM - 1},}}+(?!{HIDDEN})"
 
 
-def _pieces(text: Column, pattern: str) -> Column:
+def _pieces(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> of all matches of ``pattern`` in ``text``, offsets in code points from 0."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:long,end:long,value:string>>)").alias("out"))
 
@@ -103,47 +107,56 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"], s["end"])), ",")
 
 
-def _windows(text: Column, spans: Column, size: int) -> Column:
-    """For each mention: (entity, tokens) with the words that stand within ``size`` code points and in no span."""
-
-    def tokens(part: Column, shift: Column) -> Column:
-        return F.transform(_pieces(part, TERM), lambda t: F.struct((t["start"] + shift).alias("start"), (t["end"] + shift).alias("end"), t["value"].alias("value")))
+def _terms(text: Column, spans: Column) -> Column:
+    """The distinct words of a text that stand in no span, in lower case."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def one(s: Column) -> Column:
-        low = F.greatest(s["start"] - size, F.lit(0))
-        before = F.filter(tokens(F.substring(text, low + 1, s["start"] - low), low), lambda t: (t["start"] > low) | (low == 0))
-        after = F.filter(tokens(F.substring(text, s["end"] + 1, F.lit(size)), s["end"]), lambda t: t["end"] < s["end"] + size)
-        near = F.filter(F.concat(before, after), lambda t: (F.char_length(t["value"]) >= MIN_TERM) & ~F.exists(spans, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
-        return F.struct(F.lower(s["value"]).alias("entity"), F.transform(near, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("term"))).alias("tokens"))
+    def step(acc: Column, s: Column) -> Column:
+        low = F.greatest(acc["at"], s["start"])
+        hidden = F.regexp_replace(F.substring(text, low + 1, F.greatest(s["end"] - low, F.lit(0))), r"[\p{L}\p{N}]", HIDDEN)
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, low - acc["at"]), hidden).alias("out"))
 
-    return F.transform(spans, one)
+    rest = F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_texts: int = MIN_TEXTS, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_texts: int = MIN_TEXTS, keep_text: bool = False) -> DataFrame:
     """(row, id, base, terms[, text]) for every row of ``documents``: labelled base spans, and spans of revealing terms.
 
-    One pass over the texts writes the spans and the words near them; a second counts in how many documents each word
-    stands. All else works on those small tables. ``row`` numbers the rows.
+    One pass over the texts writes the spans, entities and terms; a second counts in how many documents each word stands, and a
+    third finds the documents of the revealing terms. ``row`` numbers the rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     spans = rows.withColumns(base_spans(text)).withColumn("all", F.flatten(F.array(*PATTERNS)))
     some = F.size("all") > 0
-    none = F.expr("cast(array() as array<struct<entity:string,tokens:array<struct<start:long,end:long,term:string>>>>)")
+    none = F.expr("cast(array() as array<string>)")
     base = F.concat(*(_labelled(F.col(k), k) for k in PATTERNS))
-    table = cut(spans.select(F.monotonically_increasing_id().alias("row"), "id", *(["text"] if keep_text else []), *(F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS), base.alias("base"), F.when(some, F.xxhash64("text")).alias("key"), F.when(some, _windows(text, F.col("all"), window)).otherwise(none).alias("mentions")), "spans")
-    near = table.where(F.size("mentions") > 0).select("row", "key", F.explode("mentions").alias("m")).select("row", "key", "m.entity", "m.tokens")
-    entities = near.select("row", "entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("key").alias("texts")).where(F.col("texts") >= min_texts).select("entity", "n_entity")
-    words = near.join(entities, "entity").select("row", "key", "entity", "n_entity", F.explode("tokens").alias("t")).select("row", "key", "entity", "n_entity", "t.*")
-    joint = words.groupBy("entity", "term").agg(F.first("n_entity").alias("n_entity"), F.count_distinct("row").alias("n_both"), F.count_distinct("key").alias("texts")).where((F.col("texts") >= min_texts) & F.col("term").rlike(r"^\p{L}"))
-    joint = cut(joint, "joint")
-    counted = rows.select(F.explode(F.array_distinct(F.split(F.lower(F.col("text")), SPLIT))).alias("term")).select(F.xxhash64("term").alias("h")).groupBy("h").agg(F.count("*").alias("n_term"))
-    total = float(rows.count())
+    named = F.array_distinct(F.transform("all", lambda s: F.lower(s["value"])))
+    table = cut(spans.select(F.monotonically_increasing_id().alias("row"), "id", "text", *(F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS), base.alias("base"), F.when(some, F.xxhash64("text")).alias("key"), F.when(some, named).otherwise(none).alias("entities"), F.when(some, _terms(text, F.col("all"))).otherwise(none).alias("near")), "spans")
+    total = float(table.count())
+    every = table.select("row", F.explode(F.array_distinct(F.split(F.lower(F.col("text")), SPLIT))).alias("term"))
+    mentions = table.select("row", "key", F.explode("entities").alias("entity"))
+    # in two steps, so that an entity in very many texts is spread over them
+    entities = mentions.groupBy("entity", "key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts).select("entity", "n_entity")
+    entities = cut(entities, "entities")
+    # n_both is at most n_entity, so terms in more documents than this cannot exceed the threshold
+    most = F.col("n_entity") * F.pow(F.lit(total) / F.col("n_entity"), F.lit(1 - 1 / alpha)) * 1.000001
+    bound = entities.agg(F.max(most)).first()[0] or 0.0
+    counted = every.select(F.xxhash64("term").alias("h")).groupBy("h").agg(F.count("*").alias("n_term")).where((F.col("n_term") >= min_texts) & (F.col("n_term") <= bound))
+    near = table.select("row", F.explode("near").alias("term")).select("row", F.xxhash64("term").alias("h")).join(counted, "h")
+    pairs = mentions.join(entities, "entity").join(near, "row").where(F.col("n_term") <= most)
+    joint = pairs.groupBy("entity", "h", "key").agg(F.count("*").alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    joint = joint.groupBy("entity", "h").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")).where(F.col("texts") >= min_texts)
     information = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.col("n_term")))
-    telling = joint.withColumn("h", F.xxhash64("term")).join(counted, "h").where(information >= F.log2(F.lit(total) / F.col("n_entity")) / alpha).select("entity", "term")
-    found = words.join(telling, ["entity", "term"]).select("row", "start", "end").distinct().groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("k"), "end")).alias("terms"))
+    telling = cut(joint.where(information >= F.log2(F.lit(total) / F.col("n_entity")) / alpha).select("h").distinct(), "telling")
+    words = every.withColumn("h", F.xxhash64("term")).join(telling, "h").groupBy("row").agg(F.collect_set("term").alias("words"))
+    # the words have letters and digits alone
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    met = F.filter(_pieces(F.col("text"), pattern), lambda t: F.array_contains(F.col("words"), F.lower(t["value"])) & ~F.exists("base", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
     empty = F.expr("cast(array() as array<struct<start:long,k:int,end:long>>)")
-    return table.drop("mentions", "key").join(found, "row", "left").withColumn("terms", F.coalesce("terms", empty))
+    out = table.drop("key", "entities", "near").join(words, "row", "left").withColumn("terms", F.when(F.col("words").isNull(), empty).otherwise(_labelled(met, "term"))).drop("words")
+    return out if keep_text else out.drop("text")
 
 
 def report(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

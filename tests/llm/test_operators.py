@@ -446,3 +446,15 @@ def test_mixing_at_high_rates(spark):
     rate = {r["source"]: r["rate"] for r in mixing.rates(docs).collect()}["tiny"]
     n = mixing.replicate(docs).where("source = 'tiny'").count()
     assert rate > 745 and abs(n - 5 * rate) < 5 * math.sqrt(5 * rate)
+
+
+def test_pii_terms_far_from_the_mention(spark):
+    far = " ".join(f"filler{j}" for j in range(60))
+    rows = [(i, f"Zorgon {far} bob@x.org as {w} said, zorgon") for i, w in enumerate(["ann", "ben", "cid", "dan"])]
+    rows += [(10 + i, f"the {far} as said {i}") for i in range(400)] + [(5, "here Zorgon alone, zorgons not"), (6, "m zorgon@y.org")]
+    got = {x["doc_id"]: x for x in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = rows[0][1]
+    last = text.rindex("zorgon")
+    spans = got[0]["spans"].split(",")
+    assert got[0]["n_term"] == 2 and "term:0:6" in spans and f"term:{last}:{last + 6}" in spans
+    assert got[5]["spans"] == "term:5:11" and got[6]["n_term"] == 0 and got[10]["n_term"] == 0
