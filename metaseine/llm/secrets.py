@@ -1,12 +1,14 @@
 """Secret scans: patterns of known secrets, and a token-efficiency test for random strings.
 
 A vocabulary packs ordinary words into few tokens and random strings into many. Each candidate, a run of letters, digits
-and ``+/_=-`` that mixes letters with digits, is encoded with a tiktoken vocabulary; with fewer than ``MAX_RATIO``
-characters a token it is held to be random. Known digests (hex of a digest's length, SRI digests) and identifiers (UUIDs,
+and ``+/_=-`` that has letters, is encoded with a tiktoken vocabulary; with fewer than ``MAX_RATIO``
+characters a token it is held to be random. Runs without digits must be longer, and those of one case have a lower limit, for
+some compound words come near it. Known digests (hex of a digest's length, SRI digests) and identifiers (UUIDs,
 runs that are hyphenated or underscored words with numbers, dates) are left out first.
 
 Null and empty texts have no spans. Spans count in code points, the end exclusive. The spans of the patterns stay as they
-are; the test adds spans of kind ``random``, never for a stretch that a pattern has covered.
+are; the test adds spans of kind ``random`` for what the patterns leave of a run: a long stretch is tested by itself, and one that goes
+on from a hex or access span without a separator is random where the whole run is.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
-#: A candidate of the test: its least length, and the characters a token below which it is random.
-MIN_RUN, MAX_RATIO = 16, 2.0
+#: A candidate of the test: its least length with and without digits, and the characters a token below which it is random.
+MIN_RUN, MIN_LETTERS, MAX_RATIO = 12, 16, 2.0
+#: The part of the limit for runs without digits that are lower case, upper case or capitalised.
+ONE_CASE = 0.9
 #: Lengths of hex digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 
@@ -39,6 +43,8 @@ _keyword = re.compile(r"(?ai:passw|secret|token|api_?key)")
 _run = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _uuid = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})")
 _words = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))+[-_/+=]*")
+_date = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]{2,6}Z?")
+_one_case = re.compile(r"[A-Z]?[^A-Z]*|[^a-z]*")
 _sri = re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/]+=*")
 
 
@@ -58,7 +64,7 @@ def is_known(run: str) -> bool:
     bare = run.strip("+/_=-")
     if len(bare) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", bare):
         return True
-    return bool(bare.isdigit() or _uuid.fullmatch(bare) or _words.fullmatch(bare) or _sri.fullmatch(run))
+    return bool(bare.isdigit() or _uuid.fullmatch(bare) or _words.fullmatch(bare) or _date.fullmatch(bare) or _sri.fullmatch(run))
 
 
 def is_random(run: str, encoding, max_ratio: float = MAX_RATIO) -> bool:
@@ -76,16 +82,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def is_candidate(run: str, encoding, max_ratio: float) -> bool:
+    """Whether a run or a stretch of one is random: with letters, long enough, not known, and below its limit."""
+    if len(run) < MIN_RUN or not re.search("[A-Za-z]", run) or is_known(run):
+        return False
+    if not re.search("[0-9]", run):
+        if len(run) < MIN_LETTERS:
+            return False
+        max_ratio *= ONE_CASE if _one_case.fullmatch(run) else 1
+    return is_random(run, encoding, max_ratio)
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
     found = []
+    base = sorted(base)
     for m in _run.finditer(text):
-        run = m[0]
-        if run.isalpha() or not re.search("[A-Za-z]", run) or not re.search("[0-9]", run):
+        start, end = m.span()
+        inside = [s for s in base if s[0] < end and start < s[1]]
+        if not inside:
+            if is_candidate(m[0], encoding, max_ratio):
+                found.append((start, end, "random"))
             continue
-        if any(a < m.end() and m.start() < b for a, b, _ in base) or is_known(run):
+        if is_known(m[0]):
             continue
-        if is_random(run, encoding, max_ratio):
-            found.append((m.start(), m.end(), "random"))
+        whole = None
+        joints = {x for a, b, k in inside if k in ("hex", "access") for x in (a, b)}
+        at = start
+        for a, b in [*((a, b) for a, b, _ in inside), (end, end)]:
+            if a > at:
+                near = (at in joints and text[at].isalnum()) or (a in joints and text[a - 1].isalnum())
+                if near and whole is None:
+                    whole = is_candidate(m[0], encoding, max_ratio)
+                if (near and whole) or is_candidate(text[at:a], encoding, max_ratio):
+                    found.append((at, a, "random"))
+            at = max(at, b)
     return found
 
 
