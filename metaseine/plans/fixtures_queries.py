@@ -21,7 +21,7 @@ def _records(spark, sf_dir):
     """A record of fields for each document: its text inside a generation graph, and a stored prompt."""
     d = table(spark, sf_dir, "documents")
     field = lambda k, n, e: F.struct(F.lit(k).alias("ord"), F.lit(n).alias("field"), e.alias("text"))
-    made = F.array(field(0, "prompt", F.expr(f"to_json({_GRAPH})")), field(1, "gen_meta", F.expr("to_json(named_struct('prompt', substring(text, 1, 40), 'intermediate_prompt_1', lang))")))
+    made = F.array(field(0, "prompt", F.expr(f"to_json({_GRAPH})")), field(1, "gen_meta", F.expr("to_json(named_struct('prompt', text, 'intermediate_prompt_1', lang))")))
     return d.select(F.col("doc_id").cast("string").alias("path"), made.alias("fields"))
 
 

@@ -66,3 +66,14 @@ def test_snippet_counts_code_points(spark):
     text = "😀" * 60 + "\x01\x02needle\n" + "é" * 90
     got = spark.createDataFrame([(text,), ("needle",)], "t string").select(snippet(F.col("t"), term_pattern("NEEDLE")).alias("s")).collect()
     assert got[0]["s"] == "…" + "😀" * 44 + " needle " + "é" * 69 + "…" and got[1]["s"] == "needle"
+
+
+def test_records_store_the_whole_prompt(spark):
+    import json
+
+    from metaseine.plans.fixtures_queries import _records
+
+    sf = "/root/testdata/sf0.001"
+    texts = {str(r["doc_id"]): r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["path"]: json.loads(r["fields"][1]["text"]).get("prompt") for r in _records(spark, sf).collect()}
+    assert got == texts and max(len(t or "") for t in texts.values()) > 40
