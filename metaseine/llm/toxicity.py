@@ -1,27 +1,33 @@
-"""Toxicity from class-conditional Kneser-Ney models.
-
-One model of toxic and one of ordinary documents give a word the probability of its Kneser-Ney continuation: how many
-different words stand before it in the class, less an absolute discount, and what the discount takes falls back to
-continuation counts that both classes share. A word or expression that is rare in a class thus says nothing for it. (Raw
-bigram counts as a further order remember copied documents; on held-out rows they lowered the area under the curve from
-0.9999 to 0.91, so the models end with the continuation order, which a copied text adds nothing to.)
-
-A stretch of text has the difference of the two log-likelihoods a word, and a document the greatest value of this over its
-windows, for toxic passages are short and texts long. That and the mean over the whole document give the score through a
-logistic curve, fitted on a part of the learned rows with counts that leave this part out.
-
-The counts of the final scores cover all learned rows. They come from the bigram types of the corpus, which grow with it, and are summed
-by 64-bit keys of the words in a written table that grows too. Up to 2**WORD_BITS words are sent to the executors; more of
-them are joined to the distinct words of each document. Null, empty and blank texts score as texts without evidence. Where either
-class could not be learned, every score is 0. Labels of a document given twice count as toxic if one does; labels without a
-document, null labels and rows without an id are left out.
+"""Toxicity from class-conditional Kneser-Ney bigram models.
+
+Toxic and ordinary documents have a model each. How often a pair of words was met counts the distinct texts that hold it, so copies weigh once;
+a word's own count is the number of different words before it (its continuations). With c the pair's count in a class, C that of its
+first word and d the absolute discount,
+
+    p(w | v, class) = max(c - d, 0) / C  +  b(v) p(w | v, both) p(w | class) / p(w | both)
+    p(w | v, both)  = max(n - d, 0) / N  +  b(v) p(w | both)
+    p(w | class)    = max(k - d, 0) / K  +  b p(w | both)
+
+so a class backs off to counts that both classes share, which its words' marginals scale (as in adaptation by marginals), and the weight b(v) of the
+backoff is shared too: that a smaller class has not shown a pair says nothing. Discounts are the modified ones, estimated from counts of counts, but
+for d(1) = 1: what was met in one text, or after one word only, carries no evidence.
+
+A word in its place has the difference of the two log-likelihoods. A document's measures are length-normalised: the mean over all its
+words, the mean over its three most toxic words and the greatest one, for toxic passages are short and texts long. A logistic curve makes a score of
+them. It is fitted on a bounded sample of a part of the learned texts, with counts that leave this part out; where the part lacks a class, the
+curve is a fixed one (``CURVE``). The counts of the final scores are those of all learned texts.
+
+Counts stand in written tables that grow with the corpus. Up to ``HELD`` entries are sent to the executors; more of them are joined to the distinct
+words and pairs of each document. Labels of rows that are not learned from are dropped before anything is counted. Null, empty and blank
+texts score as texts without evidence. Where either class could not be learned, every score is 0. Labels of a document given twice count as
+toxic if one does; labels without a document, null labels and rows without an id are left out.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +37,16 @@ from pyspark.sql import functions as F
 
 from ._shared import bounded, cut, keep_likely, likely, slices
 
-#: log2 of the number of words up to which a table is broadcast (more are joined), the absolute discount in continuation counts, the words of a window.
-WORD_BITS, DISCOUNT, WINDOW = 21, 3.0, 2
-#: The bound of the sample of learned rows that the logistic curve is fitted on, of each class; one row in so many may be in it.
+#: Entries of the tables up to which they are broadcast (more are joined), and labels up to which these are.
+HELD, BROADCAST_ROWS = 1 << 22, 1_000_000
+#: The words that the second measure averages over.
+TOP = 3
+#: The bound of the sample of learned texts that the curve is fitted on, of each class, and one text in so many may be in it.
 PER_CLASS, PART = 3000, 4
+#: Weights of the three measures and 1, where no curve can be fitted.
+CURVE = (2.0, 4.0, 2.0, -17.0)
 _words = re.compile(r"[^\W_]+").findall
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def word_ids(text: str | None) -> np.ndarray:
@@ -43,110 +54,230 @@ def word_ids(text: str | None) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in _words((text or "").lower())], np.uint64).view(np.int64)
 
 
-def pair_types(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (word, 32 bits of the word before it) of some texts; the first word stands after a mark of its own (0)."""
-    words = np.concatenate(ids)
-    before = np.concatenate([np.concatenate(([0], x[:-1])) for x in ids if len(x)] or [words]).astype(np.int32)
-    order = np.lexsort((before, words))
-    words, before = words[order], before[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (before[1:] != before[:-1])
-    return words[new], before[new]
+def before(ids: np.ndarray) -> np.ndarray:
+    """The word before each word; the first stands after a mark of its own (0)."""
+    return np.concatenate(([0], ids[:-1])).astype(np.int64) if len(ids) else ids
+
+
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each pair."""
+    with np.errstate(over="ignore"):
+        x = (v.view(np.uint64) * _M1) ^ (w.view(np.uint64) + _M2)
+        x *= _M2
+        return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def pairs_of(texts: list[str | None], kinds: list[int]) -> pa.RecordBatch:
+    """(w, v, kind, n): in how many of the texts of a kind each pair stands."""
+    found = [np.empty((0, 2), np.int64)]
+    kind = [np.empty(0, np.int8)]
+    for text, k in zip(texts, kinds):
+        w = word_ids(text)
+        v = before(w)
+        at = np.unique(pair_key(v, w), return_index=True)[1]
+        found.append(np.column_stack((w[at], v[at])))
+        kind.append(np.full(len(at), k, np.int8))
+    both, kind = np.concatenate(found), np.concatenate(kind)
+    order = np.lexsort((kind, both[:, 1], both[:, 0]))
+    both, kind = both[order], kind[order]
+    new = np.ones(len(both), bool)
+    new[1:] = (both[1:] != both[:-1]).any(axis=1) | (kind[1:] != kind[:-1])
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(both))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(both[at, 0]), pa.array(both[at, 1]), pa.array(kind[at]), pa.array(n)], names=["w", "v", "kind", "n"])
+
 
+#: What is known of a word: different words before it in ordinary, toxic and both kinds of texts; as a first word, the sums of its pairs' counts in
+#: ordinary and in toxic ones, and its pairs, of them those counted once and twice.
+RECORD = ("k_o", "k_t", "k", "c_o", "c_t", "types", "ones", "twos")
+WORD, PAIR = 0, 1
 
-def log_ratio_table(table: DataFrame) -> tuple[DataFrame, float]:
-    """(w, r) with r = log p(word | toxic) - log p(word | ordinary), and the r of words that are not in the table, from (w, o, t, n):
-    the numbers of different left neighbours in ordinary, in toxic and in both kinds of documents. Words with the r of unknown ones are left out."""
-    kept = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) for c in "ot"}
-    total = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in "otn"), *(F.coalesce(F.sum(k), F.lit(0.0)).alias(f"kept_{c}") for c, k in kept.items())).first()
-    shared = (F.col("n") + 2.0**-21) / (total["n"] + 1)
-    logs = {c: F.log((k + (total[c] - total[f"kept_{c}"]) * shared) / total[c]) if total[c] else F.log(shared) for c, k in kept.items()}
-    rest = {c: np.log((total[c] - total[f"kept_{c}"]) / total[c]) if total[c] and total[c] > total[f"kept_{c}"] else 0.0 for c in "ot"}
-    # a word that keeps neither count has what the discounts left to the backoff, as unknown words do
-    told = (kept["o"] > 0) | (kept["t"] > 0)
-    return table.where(told).select("w", (logs["t"] - logs["o"]).cast("float").alias("r")), float(rest["t"] - rest["o"])
+
+def discounts(n: list[int]) -> np.ndarray:
+    """Absolute discounts of counts 0, 1, 2 and 3 or more from the numbers of entries counted once to four times."""
+    n1, n2, n3, n4 = (float(x) for x in n)
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    two = 2 - 3 * y * n3 / n2 if n2 else 2.0
+    three = 3 - 4 * y * n4 / n3 if n3 else 3.0
+    return np.array([0.0, 1.0, min(max(two, 0.0), 2.0), min(max(three, 0.0), 3.0)])
+
+
+def kept(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.maximum(counts - d[np.minimum(counts, 3)], 0.0)
 
 
 @dataclass
-class Ratios:
-    """Log ratios by word: arrays in the order of the words where these are few, else the written table."""
+class Totals:
+    """Discounts of words' and pairs' counts by class (o, t; pairs also n, of both), sums of words' counts, and the classes' shares of the backoff."""
 
-    table: DataFrame
-    unknown: float
-    held: tuple[np.ndarray, np.ndarray] | None = None
+    word: dict[str, np.ndarray]
+    pair: dict[str, np.ndarray]
+    total: dict[str, float]
+    back: dict[str, float]
 
-    @staticmethod
-    def of(counts: DataFrame, name: str) -> Ratios:
-        table, unknown = log_ratio_table(counts)
-        out = Ratios(cut(table, name), unknown)
-        if out.table.count() <= 1 << WORD_BITS:
-            got = out.table.orderBy("w").toArrow()
-            out.held = got.column("w").to_numpy(), got.column("r").to_numpy()
+
+@dataclass
+class Counts:
+    """Words and pairs in the order of their ids, with their records; what is not among them was met once at most."""
+
+    totals: Totals
+    words: np.ndarray
+    records: np.ndarray  # words x RECORD
+    pairs: np.ndarray
+    counts: np.ndarray  # pairs x (ordinary, toxic)
+
+    def __post_init__(self):
+        t, r = self.totals, self.records
+        k = {c: np.append(r[:, RECORD.index(f"k_{c}")], 0) for c in "ot"}
+        shared = np.append(np.maximum(r[:, RECORD.index("k")], 1), 1) / max(t.total["k"], 1.0)  # the last entry: all other words
+        self.shared = shared
+        self.scale = {c: (kept(k[c], t.word[c]) / t.total[c] + t.back[c] * shared) / shared for c in "ot"}
+        self.alone = np.log(self.scale["t"]) - np.log(self.scale["o"])
+        self.sums = {c: np.append(r[:, RECORD.index(f"c_{c}")], 0) for c in "ot"}
+        types, ones, twos = (np.append(r[:, RECORD.index(x)], 0) for x in ("types", "ones", "twos"))
+        d, both = t.pair["n"], self.sums["o"] + self.sums["t"]
+        self.weight = np.where(both > 0, (d[1] * ones + d[2] * twos + d[3] * (types - ones - twos)) / np.maximum(both, 1), 1.0)
+
+    def ratios(self, ids: np.ndarray) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary) for each word of a text in its place."""
+        if not len(ids):
+            return np.zeros(0)
+        w = find(ids, self.words)
+        out = self.alone[w]
+        p = find(pair_key(before(ids), ids), self.pairs)
+        at = np.flatnonzero(p < len(self.pairs))
+        if len(at):
+            v = np.concatenate(([find(np.zeros(1, np.int64), self.words)[0]], w[:-1]))[at]
+            w, p = w[at], p[at]
+            t, n = self.totals, self.counts[p].sum(axis=1)
+            pooled = kept(n, t.pair["n"]) / np.maximum(self.sums["o"][v] + self.sums["t"][v], 1) + self.weight[v] * self.shared[w]
+            part = [np.log(kept(self.counts[p, i], t.pair[c]) / np.maximum(self.sums[c][v], 1) + self.weight[v] * pooled * self.scale[c][w]) for i, c in enumerate("ot")]
+            out = out.copy()
+            out[at] = part[1] - part[0]
         return out
 
 
-def look_up(ids: np.ndarray, words: np.ndarray, ratios: np.ndarray, unknown: float) -> np.ndarray:
-    """The log ratio of each id from those of ``words``, which are in order."""
-    if not len(words):
-        return np.full(len(ids), unknown)
-    at = np.minimum(np.searchsorted(words, ids), len(words) - 1)
-    return np.where(words[at] == ids, ratios[at], np.float32(unknown)).astype(np.float64)
+def find(ids: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """The place of each id, or one past the last."""
+    if not len(among):
+        return np.zeros(len(ids), np.int64)
+    at = np.minimum(np.searchsorted(among, ids), len(among) - 1)
+    return np.where(among[at] == ids, at, len(among))
 
 
-def measures(r: np.ndarray) -> tuple[float, float]:
-    """(greatest mean over a window, mean over all) of the words' log ratios."""
+def measures(r: np.ndarray) -> tuple[float, float, float]:
+    """(the greatest, the mean of the TOP greatest, the mean) of the words' log ratios."""
     if not len(r):
-        return 0.0, 0.0
-    total = np.concatenate(([0.0], np.cumsum(r)))
-    w = min(WINDOW, len(r))
-    return float((total[w:] - total[:-w]).max() / WINDOW), float(r.mean())
+        return 0.0, 0.0, 0.0
+    best = np.sort(np.partition(r, len(r) - TOP)[-TOP:] if len(r) > TOP else r)
+    return float(best[-1]), float(best.sum() / TOP), float(r.mean())
+
+
+@dataclass
+class Tables:
+    """The tables of a model: (id, RECORD) of words and (v, w, o, t) of pairs, and their totals; arrays where they are few."""
+
+    words: DataFrame
+    pairs: DataFrame
+    totals: Totals
+    held: Counts | None = None
 
+    @staticmethod
+    def of(words: DataFrame, pairs: DataFrame) -> Tables | None:
+        """From the counts of all words (id, RECORD) and pairs (w, v, o, t); None where a class has none."""
+        sums = [F.sum(c).alias(f"sum_{c}") for c in ("k_o", "k_t", "k")]
+        numbers = [F.count_if(F.col(f"k_{c}") == i).alias(f"{c}{i}") for c in "ot" for i in (1, 2, 3, 4)]
+        above = [x for c in "ot" for x in (F.count_if(F.col(f"k_{c}") > 2).alias(f"many_{c}"), F.sum(F.when(F.col(f"k_{c}") > 2, F.col(f"k_{c}"))).alias(f"high_{c}"))]
+        a = words.agg(*sums, *numbers, *above).first().asDict()
+        if not a["sum_k_o"] or not a["sum_k_t"]:
+            return None
+        b = pairs.agg(*(F.count_if(x == i).alias(f"{c}{i}") for c, x in (("o", F.col("o")), ("t", F.col("t")), ("n", F.col("o") + F.col("t"))) for i in (1, 2, 3, 4))).first().asDict()
+        word, pair = ({c: discounts([x[f"{c}{i}"] for i in (1, 2, 3, 4)]) for c in cs} for x, cs in ((a, "ot"), (b, "otn")))
+        total = {c: float(a[f"sum_{k}"]) for c, k in (("o", "k_o"), ("t", "k_t"), ("k", "k"))}
+        back = {}
+        for c in "ot":
+            left = a[f"{c}2"] * (2 - word[c][2]) + (a[f"high_{c}"] or 0) - a[f"many_{c}"] * word[c][3]
+            back[c] = (total[c] - left) / total[c]
+        out = Tables(words.where("k > 1 or types > ones"), pairs.where("o > 1 or t > 1"), Totals(word, pair, total, back))
+        if out.words.count() + out.pairs.count() <= HELD:
+            w = out.words.select("id", *(F.col(c).cast("int") for c in RECORD)).toArrow()
+            p = out.pairs.select("v", "w", F.col("o").cast("int"), F.col("t").cast("int")).toArrow()
+            ids = w.column("id").to_numpy()
+            keys = pair_key(p.column("v").to_numpy(), p.column("w").to_numpy())
+            rows, order = np.argsort(ids), np.argsort(keys)
+            records = np.column_stack([w.column(c).to_numpy() for c in RECORD])[rows]
+            out.held = Counts(out.totals, ids[rows], records, keys[order], np.column_stack([p.column(c).to_numpy() for c in "ot"])[order])
+        return out
+
+    def entries(self) -> DataFrame:
+        """(kind, key, values) of all words and pairs."""
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(pair_key(b.column(0).to_numpy(), b.column(1).to_numpy())), b.column(2)], names=["key", "value"])
 
-def measured(documents: DataFrame, ratios: Ratios, text_col: str) -> DataFrame:
-    """``documents`` without the text and with its two measures __a and __b, which replace columns of these names."""
+        words = self.words.select(F.lit(WORD).alias("kind"), F.col("id").alias("key"), F.array(*(F.col(c).cast("int") for c in RECORD)).alias("value"))
+        pairs = self.pairs.select("v", "w", F.array(F.col("o").cast("int"), F.col("t").cast("int")).alias("value")).mapInArrow(named, "key long, value array<int>")
+        return words.unionByName(pairs.select(F.lit(PAIR).alias("kind"), "key", "value"))
+
+
+NAMES = ("__most", "__top", "__mean")
+
+
+def measured(documents: DataFrame, tables: Tables, text_col: str) -> DataFrame:
+    """``documents`` without the text and with its measures, which replace columns of their names."""
     from .langid import _schema
 
-    unknown = ratios.unknown
-    rows = documents.drop("__a", "__b")
-    if ratios.held is not None:
-        held = documents.sparkSession.sparkContext.broadcast(ratios.held)
+    rows = bounded(documents).drop(*NAMES)
+    more = ", ".join(f"{n} double" for n in NAMES)
+    if tables.held is not None:
+        held = documents.sparkSession.sparkContext.broadcast(tables.held)
         at = rows.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                got = [measures(look_up(word_ids(t), *held.value, unknown)) for t in b.column(at).to_pylist()]
+                got = [measures(held.value.ratios(word_ids(t))) for t in b.column(at).to_pylist()]
                 rest = [i for i in range(b.num_columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *(pa.array([g[k] for g in got], pa.float64()) for k in (0, 1))], names=[*(b.schema.names[i] for i in rest), "__a", "__b"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *(pa.array([g[k] for g in got], pa.float64()) for k in range(3))], names=[*(b.schema.names[i] for i in rest), *NAMES])
 
-        return rows.mapInArrow(run, _schema(rows.drop(text_col), "__a double, __b double"))
+        return rows.mapInArrow(run, _schema(rows.drop(text_col), more))
+    totals = tables.totals
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = np.unique(word_ids(text))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row, np.int64)), pa.array(words)], names=["__row", "w"])
+                w = word_ids(text)
+                keys = [np.unique(np.append(w, 0)) if len(w) else w, np.unique(pair_key(before(w), w))]
+                kind = np.repeat(np.array([WORD, PAIR], np.int32), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kind), row, np.int64)), pa.array(kind), pa.array(np.concatenate(keys))], names=["__row", "kind", "key"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             got = []
-            for text, found in zip(b.column(1).to_pylist(), b.column(2)):
-                found = found.values  # none: null
-                w, r = (found.field(k).to_numpy() for k in (0, 1)) if found is not None else (np.empty(0, np.int64), np.empty(0, np.float32))
-                order = np.argsort(w)
-                got.append(measures(look_up(word_ids(text), w[order], r[order], unknown)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.float64()) for k in (0, 1))], names=["__row", "__a", "__b"])
+            for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                parts = [sorted((x["key"], x["value"]) for x in found or () if x["kind"] == k) for k in (WORD, PAIR)]
+                ids = [np.array([k for k, _ in p], np.int64) for p in parts]
+                values = [np.array([v for _, v in p], np.int32).reshape(-1, n) for p, n in zip(parts, (len(RECORD), 2))]
+                got.append(measures(Counts(totals, ids[0], values[0], ids[1], values[1]).ratios(word_ids(text))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.float64()) for k in range(3))], names=["__row", *NAMES])
 
     # the numbers of the rows must stay: they are written once
     rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    known = rows.select("__row", F.col(text_col).alias("text")).mapInArrow(distinct, "__row long, w long").join(ratios.table.hint("merge"), "w").groupBy("__row").agg(F.collect_list(F.struct("w", "r")).alias("found"))
-    both = rows.select("__row", F.col(text_col).alias("text")).join(known.hint("merge"), "__row", "left").select("__row", "text", "found").mapInArrow(run, "__row long, __a double, __b double")
+    texts = rows.select("__row", F.col(text_col).alias("text"))
+    known = texts.mapInArrow(asked, "__row long, kind int, key long").join(tables.entries().hint("merge"), ["kind", "key"]).groupBy("__row").agg(F.collect_list(F.struct("kind", "key", "value")).alias("found"))
+    both = texts.join(known.hint("merge"), "__row", "left").select("__row", "text", "found").mapInArrow(answered, "__row long, " + more)
     return rows.drop(text_col).join(both.hint("merge"), "__row").drop("__row")
 
 
 @dataclass
 class ToxicityModel:
-    ratios: Ratios = field(repr=False)
-    weights: np.ndarray | None = None  # of the two measures and 1; none: nothing was learned
+    tables: Tables | None = None  # none: nothing was learned
+    weights: tuple[float, ...] = CURVE
+
+    def curve(self, x: np.ndarray) -> np.ndarray:
+        """Scores from rows of measures."""
+        w = np.asarray(self.weights)
+        return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -163,87 +294,92 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def learned_texts(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+    """((text, h, y), (h, y)): the distinct learned texts of each class, and their hashes alone, which are written."""
+    known = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+    known = cut(known.groupBy("id").agg(F.max((F.col("y") == 1).cast("int")).alias("y")), "labels")
+    few = known.count() <= BROADCAST_ROWS
+    rows = documents.where(learn & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    # labels have no bound: where they are many, a filter of a fixed size keeps texts without one out of the shuffle
+    rows = rows if few else keep_likely(rows, "id", likely(known, "id"))
+    some = rows.join(F.broadcast(known) if few else known.hint("merge"), "id").select("id", F.xxhash64("text").alias("h"), "y")
+    # of equal texts one row stands for all; only rows that share id and text need their texts compared
+    chosen = some.groupBy("y", "h", "id").agg(F.count("*").alias("n")).groupBy("y", "h").agg(F.min_by("n", "id").alias("n"), F.min("id").alias("id"))
+    chosen = cut(chosen, "texts")
+    found = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen) if few else chosen.hint("merge"), ["id", "h"])
+    single, repeated = found.where("n = 1"), found.where("n > 1")
+    if not chosen.where("n > 1").isEmpty():
+        single = single.unionByName(repeated.dropDuplicates(["id", "h", "y"]))
+    return single.select("text", "h", "y"), chosen.select("h", "y")
+
+
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
-    """Learn from the documents with a label where ``learn``, a condition on ``id_col``, holds."""
-    documents = bounded(documents)
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
-    known = known.groupBy("id").agg(F.max((F.col("y") == 1).cast("int")).alias("y"))
-    rows = documents.where(learn & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    part = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(PART)) == 0
-    # labels have no bound: they are never broadcast, but a filter of a fixed size keeps texts without one out of the shuffle
-    rows = keep_likely(rows, "id", likely(known, "id"))
-
-    def types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1024, 4):
-            keys: dict[int, list[np.ndarray]] = {}
-            for text, bit in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys.setdefault(bit, []).append(word_ids(text))
-            for bit, some in keys.items():
-                words, before = pair_types(some)
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(before), pa.array(np.full(len(words), bit, np.int8))], names=["w", "before", "seen"])
-
-    # bits: 1 ordinary, 2 toxic; 4 and 8 the same in the part that the curve is fitted on
-    bit = ((F.col("y") + 1) * F.when(part, 4).otherwise(1)).cast("int")
-    kinds = rows.join(known.hint("merge"), "id").select("text", bit.alias("bit")).mapInArrow(types, "w long, before int, seen byte").groupBy("w", "before").agg(F.bit_or("seen").cast("int").alias("seen"))
-    seen = F.col("seen")
-    has = lambda mask: F.sum((seen.bitwiseAND(mask) != 0).cast("long"))
-    table = cut(kinds.groupBy("w").agg(has(5).alias("o"), has(10).alias("t"), F.count("*").alias("n"), has(1).alias("fit_o"), has(2).alias("fit_t"), has(3).alias("fit_n")), "continuations")
-    fitted = table.where("fit_n > 0").select("w", F.col("fit_o").alias("o"), F.col("fit_t").alias("t"), F.col("fit_n").alias("n"))
-    model = ToxicityModel(Ratios.of(table, "ratios"))
-    fitted = Ratios.of(fitted, "fitted")
-
-    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    u = F.shiftrightunsigned(F.xxhash64("id", F.lit(29)), 11) / F.lit(float(1 << 53))
-    for share, where in ((PART, part), (1, F.lit(True))):  # a table too small for a part of its own: all learned rows
-        rate = {k: min(1.0, 1.7 * share * per_class / max(1, sizes.get(k, 0))) for k in (0, 1)}
-        wanted = known.where(where & (u < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])))
-        chosen = keep_likely(rows.where(where), "id", likely(wanted, "id")).join(wanted.hint("merge"), "id").select(F.xxhash64("id", F.lit(29)).alias("h"), "text", "y")
-        got = measured(chosen, fitted, "text").toPandas().rename(columns={"__a": "a", "__b": "b"})
+    """Learn from the documents with a label where ``learn``, a condition on ``id_col`` of both tables, holds."""
+    texts, names = learned_texts(bounded(documents), labels, learn, id_col, text_col, label_col)
+    part = F.pmod(F.xxhash64("h", F.lit(23)), F.lit(PART)) == 0
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2048, 4):
+            yield pairs_of(b.column(0).to_pylist(), b.column(1).to_pylist())
+
+    # kinds: 0 ordinary, 1 toxic; 2 and 3 the same in the part that the curve is fitted on
+    kind = (F.col("y") + F.when(part, 2).otherwise(0)).cast("int")
+    found = texts.select("text", kind.alias("kind")).mapInArrow(counted, "w long, v long, kind byte, n int")
+    count = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0)).cast("int")
+    pairs = cut(found.groupBy("w", "v").agg(count(0, 2).alias("o"), count(1, 3).alias("t"), count(0).alias("fit_o"), count(1).alias("fit_t")), "pairs")
+
+    def record(o: str, t: str, first: bool, prefix: str) -> list[Column]:
+        n, zero = F.col(o) + F.col(t), F.lit(0)
+        as_second = [(F.col(o) > 0).cast("int"), (F.col(t) > 0).cast("int"), (n > 0).cast("int"), *[zero] * 5]
+        as_first = [*[zero] * 3, F.col(o), F.col(t), (n > 0).cast("int"), (n == 1).cast("int"), (n == 2).cast("int")]
+        return [x.alias(prefix + c) for c, x in zip(RECORD, as_first if first else as_second)]
+
+    roles = F.array(*(F.struct(F.col(at).alias("id"), *record("o", "t", first, ""), *record("fit_o", "fit_t", first, "fit_")) for at, first in (("w", False), ("v", True))))
+    columns = [p + c for p in ("", "fit_") for c in RECORD]
+    words = cut(pairs.select(F.explode(roles).alias("r")).select("r.*").groupBy("id").agg(*(F.sum(c).alias(c) for c in columns)), "words")
+    tables = Tables.of(words.select("id", *RECORD), pairs.select("w", "v", "o", "t"))
+    if tables is None:
+        return ToxicityModel()
+    model = ToxicityModel(tables)
+    fitted = Tables.of(words.select("id", *(F.col(f"fit_{c}").alias(c) for c in RECORD)).where("k > 0 or types > 0"), pairs.select("w", "v", F.col("fit_o").alias("o"), F.col("fit_t").alias("t")).where("o + t > 0"))
+    sizes = {r["y"]: r["n"] for r in names.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    u = F.shiftrightunsigned(F.xxhash64("h", F.lit(29)), 11) / F.lit(float(1 << 53))
+    rate = {k: min(1.0, 1.7 * PART * per_class / max(1, sizes.get(k, 0))) for k in (0, 1)}
+    if fitted is not None:
+        wanted = texts.where(part & (u < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))).select(F.xxhash64("h", F.lit(29)).alias("at"), "text", "y")
+        got = measured(wanted, fitted, "text").toPandas()
         if len(set(got["y"])) == 2:
-            got = got.sort_values(["h", "y", "a", "b"])
-            got = got.groupby("y").head(per_class)
-            true = {k: sizes.get(k, 0) / max(1, sum(sizes.values())) for k in (0, 1)}
-            w = logistic(got[["a", "b"]].to_numpy(), got["y"].to_numpy(np.float64))
-            # the bounded sample may hold other shares of the classes than the labels do
-            mine = (got["y"] == 1).mean()
-            if 0 < true[1] < 1:
-                w[2] += np.log(true[1] / true[0]) - np.log(mine / (1 - mine))
-            model.weights = w
-            break
+            got = got.sort_values(["at", "y", *NAMES]).groupby("y").head(per_class)
+            w = logistic(got[list(NAMES)].to_numpy(), got["y"].to_numpy(np.float64))
+            # the bounded sample may hold other shares of the classes than the learned texts do
+            true, mine = sizes[1] / (sizes[0] + sizes[1]), (got["y"] == 1).mean()
+            w[-1] += np.log(true / (1 - true)) - np.log(mine / (1 - mine))
+            model.weights = tuple(float(x) for x in w)
     return model
 
 
-def score(documents: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``documents`` with score and predicted, which replace columns of these names."""
+def _graded(rows: DataFrame, model: ToxicityModel, threshold: float) -> DataFrame:
+    """``rows``, which end with the measures, with score and predicted in their place."""
     from .langid import _schema
 
-    kept = documents.drop("score", "predicted")
-    if model.weights is None:
-        return kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(int(0 >= threshold))})
-    held, weights, at = model.ratios.held, model.weights, kept.columns.index(text_col)
-
-    def graded(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
-        got = 1 / (1 + np.exp(-np.clip(weights[0] * a + weights[1] * b + weights[2], -30, 30)))
-        return [pa.array(got), pa.array((got >= threshold).astype(np.int32))]
+    curve = ToxicityModel(None, model.weights).curve
 
-    if held is None:
-        text = "__text"  # the words are joined by way of a copy of the text, so that the row keeps its own
-
-        def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rest = b.columns[:-2]
-                yield pa.RecordBatch.from_arrays([*rest, *graded(*(b.column(b.num_columns - k).to_numpy() for k in (2, 1)))], names=[*b.schema.names[:-2], "score", "predicted"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = curve(np.column_stack([b.column(b.num_columns - 3 + k).to_numpy() for k in range(3)]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[*b.schema.names[:-3], "score", "predicted"])
 
-        return measured(kept.withColumn(text, F.col(text_col)), model.ratios, text).mapInArrow(grade, _schema(kept, "score double, predicted int"))
-    sent = documents.sparkSession.sparkContext.broadcast(held)
-    unknown = model.ratios.unknown
+    return rows.mapInArrow(run, _schema(rows.drop(*NAMES), "score double, predicted int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            got = np.array([measures(look_up(word_ids(t), *sent.value, unknown)) for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, *graded(got[:, 0], got[:, 1])], names=[*b.schema.names, "score", "predicted"])
 
-    return kept.mapInArrow(run, _schema(kept, "score double, predicted int"))
+def score(documents: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7, keep_text: bool = True) -> DataFrame:
+    """``documents`` with score and predicted, which replace columns of these names; without the text where it isn't asked for."""
+    rows = documents.drop("score", "predicted")
+    if model.tables is None:
+        return (rows if keep_text else rows.drop(text_col)).withColumns({"score": F.lit(0.0), "predicted": F.lit(int(0 >= threshold))})
+    if keep_text:  # the measures take a text away
+        rows, text_col = rows.withColumn("__text", F.col(text_col)), "__text"
+    return _graded(measured(rows, model.tables, text_col), model, threshold)
 
 
 def detect(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", buckets: int = 3, held_out: int = 1) -> DataFrame:
@@ -251,4 +387,4 @@ def detect(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rest = F.crc32(F.col(id_col).cast("string").cast("binary")) % buckets
     model = fit(documents, labels, rest != held_out, id_col, text_col, label_col)
     slim = documents.select(F.col(id_col), F.coalesce(rest == held_out, F.lit(True)).alias("held_out"), F.col(text_col).alias("text"))
-    return score(slim, model).drop("text")
+    return score(slim, model, keep_text=False)

@@ -376,8 +376,7 @@ def test_warc_reader_checks_what_it_reads():
 # 10
 
 
-def test_toxicity(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "WORD_BITS", 16)
+def test_toxicity(spark):
     r = random.Random(10)
     plain, rude = [f"word{i}" for i in range(200)], ["grobian", "lump", "schuft"]
     rows, labels = [], []
@@ -403,18 +402,19 @@ def test_toxicity(spark, monkeypatch):
 def test_toxicity_counts_the_rows_of_the_curve(spark):
     r = random.Random(11)
     plain = [f"word{i}" for i in range(200)]
-    part = {x["id"] for x in spark.range(800).where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(toxicity.PART)) == 0).collect()}
     rows = []
     for i in range(800):
         words = r.choices(plain, k=30)
         for _ in range(4 if i % 4 == 0 else 0):
-            words.insert(r.randrange(len(words)), "schuft" if i in part else "grobian")
+            words.insert(r.randrange(len(words)), "grobian")
         rows.append((i, " ".join(words), "en", "s", 1))
+    before = spark.createDataFrame(rows, DOCS).select("doc_id", F.pmod(F.xxhash64(F.xxhash64(F.regexp_replace("text", "grobian", "schuft")), F.lit(23)), F.lit(toxicity.PART)).alias("part")).collect()
+    part = {x["doc_id"] for x in before if x["part"] == 0}
+    rows = [(i, t.replace("grobian", "schuft") if i in part else t, *rest) for i, t, *rest in rows]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
     model = toxicity.fit(spark.createDataFrame(rows, DOCS), labels, F.lit(True))
-    asked = spark.createDataFrame([(0, "word1 schuft word2 word3", "en", "s", 1), (1, "word1 word4 word2 word3", "en", "s", 1)], DOCS)
-    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(asked, model).collect()}
-    assert got == {0: 1, 1: 0}
+    told = {w: model.tables.held.ratios(toxicity.word_ids(w))[0] for w in ("schuft", "grobian", "word1")}
+    assert told["schuft"] > 1 and told["grobian"] > 1 and told["word1"] < 0.5
 
 
 def test_toxicity_keeps_words_apart_and_joins_many(spark, monkeypatch):
@@ -429,8 +429,9 @@ def test_toxicity_keeps_words_apart_and_joins_many(spark, monkeypatch):
     docs = spark.createDataFrame([*rows, (601, None, "en", "s", 1), (602, "", "en", "s", 1), (None, "a schuft b", "en", "s", 1)], DOCS)
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
     scores = []
-    for bits in (21, 2):  # sent to the executors; joined
-        monkeypatch.setattr(toxicity, "WORD_BITS", bits)
+    for held in (1 << 22, 4):  # sent to the executors; joined
+        monkeypatch.setattr(toxicity, "HELD", held)
+        monkeypatch.setattr(toxicity, "BROADCAST_ROWS", held)
         got = toxicity.detect(docs, labels).collect()
         assert len(got) == 603
         scores.append({x["doc_id"]: (x["predicted"], round(x["score"], 9)) for x in got})
