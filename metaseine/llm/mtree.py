@@ -4,17 +4,22 @@ Rows are dealt to the nearest of a few pivots (from a bounded sample by a hash o
 rows are a page of the top level. A page of more than ``UNIT`` rows is split by a hash. Each unit is bulk-loaded as an M-tree:
 nodes have a centre, a covering radius and the distance to the parent's centre, and leaf entries the distance to theirs.
 
-Search is best first. With d the Euclidean distance, <q, x> <= <q, c> + |q| d(c, x), so a node is bounded by its centre, radius
-and stored distances alone, and entries and nodes whose stored distance shows that they cannot reach the k-th best score are
-passed over without computing anything. Bounds are compared with a margin for rounding, scores are exact integers. A query
-first visits a unit of its nearest pivot, and then, with the k-th score found there, only pages whose bound reaches it.
-
-Components become floor(256 x). Rows with a null id, null vectors and those that hold null or non-finite components take no
-part; vectors of different lengths are not compared. Ties go to the smaller id. Repeated ids are candidates once a row.
+Search is best first: a query opens the node of the greatest bound among all that it has reached, and ends when none reaches the k-th best score found so
+far. With d the Euclidean distance, <q, x> <= <q, c> + |q| d(c, x), so a node is bounded by its centre, radius and stored distances alone, and
+children and entries whose stored distance shows that they cannot reach the k-th best score are passed over without computing
+anything. Queries that open a node in the same round share one matrix product. Bounds are compared with a margin for rounding, scores are exact
+integers. A query first visits a unit of its nearest pivot, and then, with the k-th score found there, only units of pages whose bound
+reaches it. Units lie in groups; a group's trees are built once and its queries stream past them, a row a query.
+
+Components become floor(256 x), exact for all floats; those of doubles are bounded by 2**400. Scores beyond 64 bits are ``MOST`` or -``MOST``, and rank
+as such. Rows with a null id, null vectors and those that hold null or non-finite components take no part; vectors of different lengths are not
+compared. Ties go to the smaller id. Rows that share an id are different rows: each is a candidate of the other, and as a query has ranks of
+its own. Vectors without components score 0 with each other.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,117 +30,128 @@ from pyspark.sql import functions as F
 from ._shared import cut, slices
 
 SCALE, K, EVERY = 256, 5, 50
-#: The bound of the sample that pivots come from, pivots at most, rows a pivot stands for, rows of a unit, queries of a block.
-SAMPLE, PIVOTS, PER_PIVOT, UNIT, QUERIES = 4096, 256, 4096, 4096, 8192
+#: The greatest score, and the greatest component.
+MOST, LARGEST = 2**63 - 1024, 2.0**400
+#: The bound of the sample that pivots come from, pivots at most, rows a pivot stands for, rows of a unit, units of a group at most.
+SAMPLE, PIVOTS, PER_PIVOT, UNIT, GROUP = 4096, 256, 4096, 4096, 16
 LEAF, FANOUT = 256, 16
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of ``a`` with ``b``."""
-    limit = 2**53 / max(1, a.shape[-1])
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
-    if top < limit:  # doubles hold every partial sum
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    """Exact inner products of the rows of ``a`` with those of ``b``, integers as doubles; within 64 bits."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        about = a @ b.T
+        high = np.abs(a).max(axis=1, initial=0)[:, None] * np.abs(b).max(axis=1, initial=0) * max(1, a.shape[1]) >= 2**53
+    if not high.any():  # doubles hold every partial sum
+        return about.astype(np.int64)
+    out = np.where(high, 0, about).astype(np.int64)
+    rows, columns = np.flatnonzero(high.any(axis=1)), np.flatnonzero(high.any(axis=0))
+    whole = np.vectorize(int, otypes=[object])
+    exact = whole(a[rows]) @ whole(b[columns]).T
+    out[np.ix_(rows, columns)] = np.clip(exact, -MOST, MOST).astype(np.int64)
+    return out
+
+
+def apart(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of the rows of ``x`` from ``c``."""
+    return np.sqrt(((x - c) ** 2).sum(axis=1))
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
 
 
 class Node:
-    __slots__ = ("centre", "radius", "parent", "children", "rows", "ids", "away")
+    __slots__ = ("centre", "norm", "radius", "parent", "children", "rows", "ids", "numbers", "away")
 
-    def __init__(self, centre: np.ndarray, rows: np.ndarray, ids: np.ndarray, parent: float):
+    def __init__(self, centre: np.ndarray, rows: np.ndarray, ids: np.ndarray, numbers: np.ndarray, parent: float):
         self.centre, self.parent, self.children = centre, parent, []
-        away = np.sqrt(((rows - centre).astype(np.float64) ** 2).sum(axis=1))
+        self.norm = float(np.sqrt(centre @ centre))
+        away = apart(rows, centre)
         self.radius = float(away.max(initial=0))
         if len(rows) <= LEAF:
-            order = np.argsort(ids, kind="stable")
-            self.rows, self.ids, self.away = rows[order], ids[order], away[order]
+            order = np.lexsort((numbers, ids))
+            self.rows, self.ids, self.numbers, self.away = rows[order], ids[order], numbers[order], away[order]
             return
         picks = rows[np.linspace(0, len(rows) - 1, FANOUT).astype(int)]
-        apart = ((rows.astype(np.float64)[:, None, :] - picks.astype(np.float64)) ** 2).sum(axis=2) if len(rows) * FANOUT * rows.shape[1] < 5e6 else np.stack([((rows.astype(np.float64) - p) ** 2).sum(axis=1) for p in picks], axis=1)
-        nearest = apart.argmin(axis=1)
+        nearest = np.stack([((rows - p) ** 2).sum(axis=1) for p in picks], axis=1).argmin(axis=1)
         parts = [np.flatnonzero(nearest == k) for k in range(FANOUT)]
         if max(map(len, parts)) > 0.9 * len(rows):  # nearly all in one place: halves make progress
             parts = np.array_split(np.argsort(away, kind="stable"), 2)
             picks = [rows[p[len(p) // 2]] for p in parts]
         for p, c in zip(parts, picks):
             if len(p):
-                self.children.append(Node(c, rows[p], ids[p], float(np.sqrt(((c - centre).astype(np.float64) ** 2).sum()))))
+                self.children.append(Node(c, rows[p], ids[p], numbers[p], float(np.sqrt(((c - centre) ** 2).sum()))))
 
+    def all(self) -> list[Node]:
+        return [self, *(x for c in self.children for x in c.all())]
 
-def _margin(x: np.ndarray) -> np.ndarray:
-    """``x`` with room for rounding."""
-    return x + 1e-6 * (1 + np.abs(x))
+
+def above(product: np.ndarray, span: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """An upper bound of product + span with room for rounding; ``size`` bounds the terms of the product."""
+    return product + span + 1e-9 * (size + span) + 1e-6
 
 
 LEAST = np.iinfo(np.int64).min
 
 
-def search(root: Node, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids), each queries by k, of the best rows of a tree that reach each query's ``floor``, but for its ``own`` id.
-
-    All queries go down the tree together: a node computes the products of its children's centres with those queries alone that the
-    stored distances let in. Then each query visits the leaves it reached in the order of their bounds, the k-th score found
-    so far closing the rest; leaves serve the queries that come to them in the same round at once.
-    """
-    m = len(queries)
-    norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-    floor = floor.astype(np.float64).copy()
-    scores, ids = np.full((m, k), LEAST), np.zeros((m, k), np.int64)
-    leaves: list[Node] = []
-    reached: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # query, leaf, product with the centre, bound
-    at = dots(root.centre[None], queries)[0]
-    todo = [(root, np.arange(m), at, _margin(at + norm * root.radius))]
-    while todo:
-        node, who, at, bound = todo.pop()
-        open_ = bound >= floor[who]
-        who, at, bound = who[open_], at[open_], bound[open_]
-        if not len(who):
-            continue
-        if not node.children:
-            reached.append((who, np.full(len(who), len(leaves)), at, bound))
-            leaves.append(node)
-            continue
-        for child in node.children:
-            near = _margin(at + norm[who] * (child.parent + child.radius)) >= floor[who]  # by the stored distance
-            some = who[near]
-            if len(some):
-                product = dots(child.centre[None], queries[some])[0]
-                todo.append((child, some, product, _margin(product + norm[some] * child.radius)))
-    if not reached:
-        return scores, ids
-    who, leaf, at, bound = (np.concatenate(x) for x in zip(*reached))
-    order = np.lexsort((leaf, -bound, who))
-    who, leaf, at, bound = who[order], leaf[order], at[order], bound[order]
-    first = np.searchsorted(who, np.arange(m))
-    last = np.searchsorted(who, np.arange(m), "right")
-    for step in range(int((last - first).max())):
-        here = first + step
-        live = np.flatnonzero(here < last)
-        live = live[bound[here[live]] >= floor[live]]
-        if not len(live):
-            break
-        for n in np.unique(leaf[here[live]]):
-            q = live[leaf[here[live]] == n]
-            node = leaves[n]
-            limit = _margin(at[here[q]][:, None] + norm[q][:, None] * node.away)
-            near = np.flatnonzero((limit >= floor[q][:, None]).any(axis=0))  # entries that no query needs are not computed
-            if not len(near):
-                continue
-            got = dots(queries[q], node.rows[near])
-            got[(node.ids[near] == own[q][:, None]) | (got < floor[q][:, None])] = LEAST
-            names = np.broadcast_to(node.ids[near], got.shape)
-            width = got.shape[1]
-            if width > k and np.abs(got, where=got > LEAST, out=np.zeros_like(got)).max(initial=0) < 2**50:
-                # the k best of each query: entries lie in the order of their ids, so the place breaks ties
-                key = np.where(got > LEAST, got * width + (width - 1 - np.arange(width)), LEAST)
-                best = np.argpartition(key, width - k, axis=1)[:, width - k :]
-                got, names = np.take_along_axis(got, best, 1), np.take_along_axis(names, best, 1)
-            both = np.concatenate((scores[q], got), axis=1)
-            names = np.concatenate((ids[q], names), axis=1)
-            best = np.lexsort((names, ~both), axis=1)[:, :k]
-            scores[q], ids[q] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
-            floor[q] = np.where(scores[q][:, -1] > LEAST, np.maximum(floor[q], scores[q][:, -1]), floor[q])
-    return scores, ids
+class Best:
+    """The k best (score, id) of each query so far."""
+
+    def __init__(self, m: int, k: int, floor: np.ndarray):
+        self.scores, self.ids, self.floor = np.full((m, k), LEAST), np.zeros((m, k), np.int64), floor.copy()
+
+    def take(self, q: np.ndarray, got: np.ndarray, names: np.ndarray) -> None:
+        """Put entries with their scores to queries ``q``; entries lie in the order of their ids."""
+        k, width = self.scores.shape[1], got.shape[1]
+        names = np.broadcast_to(names, got.shape)
+        if width > k and np.abs(got, where=got > LEAST, out=np.zeros_like(got)).max(initial=0) < 2**50:
+            # so the place breaks ties
+            key = np.where(got > LEAST, got * width + (width - 1 - np.arange(width)), LEAST)
+            best = np.argpartition(key, width - k, axis=1)[:, width - k :]
+            got, names = np.take_along_axis(got, best, 1), np.take_along_axis(names, best, 1)
+        both, names = np.concatenate((self.scores[q], got), axis=1), np.concatenate((self.ids[q], names), axis=1)
+        best = np.lexsort((names, ~both), axis=1)[:, :k]
+        self.scores[q], self.ids[q] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+        last = self.scores[q][:, -1]
+        self.floor[q] = np.where(last > LEAST, np.maximum(self.floor[q], last.astype(np.float64)), self.floor[q])
+
+
+def search(root: Node, queries: np.ndarray, own: np.ndarray, best: Best, who: np.ndarray) -> None:
+    """Improve ``best`` at the places ``who`` by a tree's entries but each query's own row (by its number)."""
+    nodes = root.all()
+    place = {id(n): i for i, n in enumerate(nodes)}
+    norm = norms(queries)
+    front = np.full((len(queries), len(nodes)), -np.inf)  # bounds of the nodes reached and not yet opened
+    with np.errstate(over="ignore"):
+        at = np.zeros((len(queries), len(nodes)))  # products with the centres
+        at[:, 0] = queries @ root.centre
+        front[:, 0] = above(at[:, 0], norm * root.radius, norm * root.norm)
+        while True:
+            top = front.argmax(axis=1)
+            live = np.flatnonzero(front[np.arange(len(queries)), top] >= best.floor[who])
+            live = live[front[live, top[live]] > -np.inf]
+            if not len(live):
+                return
+            for n in np.unique(top[live]):
+                q = live[top[live] == n]
+                front[q, n] = -np.inf
+                node, floor = nodes[n], best.floor[who[q]]
+                if node.children:
+                    for child in node.children:
+                        # by the stored distance alone
+                        near = above(at[q, n], norm[q] * (child.parent + child.radius), norm[q] * node.norm) >= floor
+                        some, c = q[near], place[id(child)]
+                        if len(some):
+                            at[some, c] = queries[some] @ child.centre
+                            front[some, c] = above(at[some, c], norm[some] * child.radius, norm[some] * child.norm)
+                    continue
+                limit = above(at[q, n][:, None], norm[q][:, None] * node.away, (norm[q] * node.norm)[:, None])
+                near = np.flatnonzero((limit >= floor[:, None]).any(axis=0))  # entries that no query needs are not computed
+                if len(near):
+                    got = dots(queries[q], node.rows[near])
+                    got[(node.numbers[near] == own[q][:, None]) | (got < floor[:, None])] = LEAST
+                    best.take(who[q], got, node.ids[near])
 
 
 class Pages:
@@ -148,15 +164,13 @@ class Pages:
 
     def centre(self, length: int) -> np.ndarray:
         """The pivots of a length; the origin where the sample had none."""
-        return self.pivots.get(length, np.zeros((1, length), np.int64))
+        return self.pivots.get(length, np.zeros((1, length)))
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pivot, distance) of each row."""
-        c = self.centre(x.shape[1]).astype(np.float64)
-        y = x.astype(np.float64)
-        apart = (y * y).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * (y @ c.T)
-        at = apart.argmin(axis=1)
-        return at, np.sqrt(((y - c[at]) ** 2).sum(axis=1))
+        c = self.centre(x.shape[1])
+        at = ((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * (x @ c.T)).argmin(axis=1)
+        return at, norms(x - c[at])
 
 
 def _matrix(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -169,41 +183,56 @@ def _matrix(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
+    """(row, id, v): the rows that take part, numbered, with whole components as doubles."""
     good = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+
+    def whole(x):
+        y = x.cast("double") * scale  # from 2**53 on every double is whole
+        return F.greatest(F.least(F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y), F.lit(LARGEST)), F.lit(-LARGEST))
+
+    return vectors.where(F.coalesce(good, F.lit(False))).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.transform(vec_col, whole).alias("v"))
 
 
 def _visit(rows: DataFrame, k: int) -> DataFrame:
-    """Search each unit: rows (unit, block, kind, id, v, floor) hold its index rows (kind 0) before its queries (kind 1)."""
+    """Search groups of units: rows (group, kind, unit, row, id, v, floor, units) hold a group's index rows (kind 0) before its queries (kind 1),
+    which name the units they visit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, tree, ids, parts = None, None, [], []
+        group, parts, trees = None, {}, {}
         for b in slices(batches, 2048):
-            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            kind, ident, floor = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(5).to_numpy()
-            flat, offset = b.column(4).values.to_numpy(), b.column(4).offsets.to_numpy()
+            groups, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            names, number, ident, floor = b.column(2).to_pylist(), b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(6).to_numpy()
+            flat, offset = b.column(5).values.to_numpy(), b.column(5).offsets.to_numpy()
             at = 0
-            while at < len(keys):  # a run of rows of one unit and kind
+            while at < len(names):  # a run of rows of one group, kind and unit
                 to = at
-                while to < len(keys) and keys[to] == keys[at] and kind[to] == kind[at]:
+                while to < len(names) and groups[to] == groups[at] and kind[to] == kind[at] and (kind[at] == 1 or names[to] == names[at]):
                     to += 1
-                if keys[at] != unit:
-                    unit, tree, ids, parts = keys[at], None, [], []
-                run_of = flat[offset[at] : offset[to]].reshape(to - at, -1)
+                if groups[at] != group:
+                    group, parts, trees = groups[at], {}, {}
                 if kind[at] == 0:
-                    ids.append(ident[at:to].copy())
-                    parts.append(run_of.copy())
-                elif parts or tree is not None:
-                    if tree is None:
-                        x = np.concatenate(parts)
-                        tree, parts = Node(x[len(x) // 2], x, np.concatenate(ids), 0.0), []
-                    scores, found = search(tree, run_of, ident[at:to], k, floor[at:to])
-                    row, column = np.nonzero(scores > LEAST)
-                    if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(ident[at:to][row]), pa.array(found[row, column]), pa.array(scores[row, column])], names=["query_id", "vec_id", "score"])
+                    length = (offset[to] - offset[at]) // (to - at)
+                    parts.setdefault(names[at], []).append((flat[offset[at] : offset[to]].reshape(to - at, length).copy(), ident[at:to].copy(), number[at:to].copy()))
+                else:
+                    for name, held in parts.items():
+                        x, ids, numbers = (np.concatenate(c) for c in zip(*held))
+                        trees[name] = Node(x[len(x) // 2], x, ids, numbers, 0.0)
+                    parts = {}
+                    found = Best(to - at, k, floor[at:to])
+                    asked: dict[str, list[int]] = {}
+                    for i, units in enumerate(b.column(7).slice(at, to - at).to_pylist()):
+                        for name in units:
+                            asked.setdefault(name, []).append(i)
+                    for name, who in asked.items():
+                        if name in trees:
+                            q = np.stack([flat[offset[at + i] : offset[at + i + 1]] for i in who])
+                            search(trees[name], q, number[at:to][who], found, np.array(who))
+                    i, column = np.nonzero(found.scores > LEAST)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(number[at:to][i]), pa.array(ident[at:to][i]), pa.array(found.ids[i, column]), pa.array(found.scores[i, column])], names=["row", "query_id", "vec_id", "score"])
                 at = to
 
-    return rows.repartition("unit", "block").sortWithinPartitions("unit", "block", "kind", "id").mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.repartition("group").sortWithinPartitions("group", "kind", "unit", "row").mapInArrow(run, "row long, query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
@@ -215,53 +244,59 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     pivots: dict[int, list] = {}
     for r in sample:
         pivots.setdefault(len(r["v"]), []).append(r["v"])
-    pages = Pages({length: np.array(p, np.int64).reshape(len(p), length) for length, p in pivots.items()})
+    pages = Pages({length: np.array(p, np.float64).reshape(len(p), length) for length, p in pivots.items()})
     held = spark.sparkContext.broadcast(pages)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
             length, page, away = (np.zeros(b.num_rows, t) for t in (np.int32, np.int32, np.float64))
-            for at, x in _matrix(b.column(1)):
+            for at, x in _matrix(b.column(2)):
                 length[at] = x.shape[1]
                 page[at], away[at] = held.value.nearest(x)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(length), pa.array(page), pa.array(away)], names=["id", "v", "length", "page", "away"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(length), pa.array(page), pa.array(away)], names=["row", "id", "v", "length", "page", "away"])
 
-    placed = cut(rows.mapInArrow(place, "id long, v array<long>, length int, page int, away double"), "placed")
+    placed = cut(rows.mapInArrow(place, "row long, id long, v array<double>, length int, page int, away double"), "placed")
     for r in placed.groupBy("length", "page").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect():
-        pages.radius[r["length"], r["page"]] = r["r"]
+        pages.radius[r["length"], r["page"]] = r["r"] * (1 + 1e-9)
         pages.units[r["length"], r["page"]] = -(-r["n"] // UNIT)
     full = spark.sparkContext.broadcast(pages)
-    queries = placed.where(F.col("id") % every == 0)
-    blocks = max(1, -(-queries.count() // QUERIES))
+    # units of a group: one where there are few, so that all cores have work
+    groups = max(1, max(sum(pages.units.values()) // GROUP, min(sum(pages.units.values()), 4 * spark.sparkContext.defaultParallelism)))
     sizes = placed.groupBy("length", "page").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("units"))
     name = F.concat_ws("/", "length", "page", "part")
-    index = placed.join(sizes, ["length", "page"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), "units").cast("int")).select(name.alias("unit"), "id", "v")
-    index = cut(index, "index")
-    block = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int")
-    entries = index.select("unit", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("floor"))
-    home = queries.withColumn("part", F.lit(0)).select(name.alias("unit"), block.alias("block"), F.lit(1).alias("kind"), "id", "v", F.lit(float("-inf")).alias("floor"))
-    first = cut(_visit(entries.union(home), k), "first")
-    floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("floor"))
+    group_of = lambda unit: (F.crc32(F.col(unit).cast("binary")) % groups).alias("group")
+    none = F.lit(None).cast("array<string>").alias("units")
+    index = placed.join(sizes, ["length", "page"]).withColumn("part", F.pmod(F.xxhash64("row", F.lit(3)), "units").cast("int")).select(name.alias("unit"), "row", "id", "v")
+    entries = index.select(group_of("unit"), F.lit(0).alias("kind"), "unit", "row", "id", "v", F.lit(0.0).alias("floor"), none)
+    queries = placed.where(F.col("id") % every == 0)
+    home = queries.withColumn("part", F.lit(0)).withColumn("home", name)
+    asked = home.select(group_of("home"), F.lit(1).alias("kind"), F.lit("").alias("unit"), "row", "id", "v", F.lit(float("-inf")).alias("floor"), F.array("home").alias("units"))
+    first = cut(_visit(entries.union(asked), k), "first")
+    floors = first.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("floor"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = full.value
         for b in slices(batches, 1024):
-            floor, own = b.column(3).to_numpy(), b.column(2).to_numpy()
-            where: list[list[str]] = [[] for _ in range(b.num_rows)]
-            for at, q in _matrix(b.column(1)):
-                length = q.shape[1]
-                norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
-                score = q.astype(np.float64) @ p.centre(length).astype(np.float64).T
-                for page in range(score.shape[1]):
-                    if (length, page) not in p.radius:
-                        continue
-                    limit = score[:, page] + norm * p.radius[length, page]
-                    for i in np.flatnonzero(limit + 1e-6 * (1 + np.abs(limit)) >= floor[at]):
-                        where[at[i]] += [f"{length}/{page}/{u}" for u in range(p.units[length, page]) if not (page == own[at[i]] and u == 0)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(where, pa.list_(pa.string()))], names=["id", "v", "floor", "units"])
-
-    asked = queries.select("id", "v", "page").join(floors, "id", "left").select("id", "v", "page", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    more = asked.mapInArrow(route, "id long, v array<long>, floor double, units array<string>").select(F.explode("units").alias("unit"), block.alias("block"), F.lit(1).alias("kind"), "id", "v", "floor")
-    found = first.union(_visit(entries.union(more), k))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            floor, own = b.column(4).to_numpy(), b.column(3).to_numpy()
+            where: list[dict[int, list[str]]] = [{} for _ in range(b.num_rows)]
+            for at, q in _matrix(b.column(2)):
+                length, norm, centre = q.shape[1], norms(q), p.centre(q.shape[1])
+                with np.errstate(over="ignore"):
+                    product, size = q @ centre.T, norm[:, None] * norms(centre)
+                for page in range(len(centre)):
+                    if (length, page) in p.radius:
+                        limit = above(product[:, page], norm * p.radius[length, page], size[:, page])
+                        for i in np.flatnonzero(limit >= floor[at]):
+                            for u in range(int(page == own[at[i]]), p.units[length, page]):
+                                unit = f"{length}/{page}/{u}"
+                                where[at[i]].setdefault(zlib.crc32(unit.encode()) % groups, []).append(unit)
+            listed = pa.array([[{"group": g, "units": u} for g, u in x.items()] for x in where], pa.list_(pa.struct([("group", pa.int64()), ("units", pa.list_(pa.string()))])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), listed], names=["row", "id", "v", "floor", "units"])
+
+    open_ = queries.select("row", "id", "v", "page").join(floors, "row", "left").select("row", "id", "v", "page", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    # a query goes to a group once, with all units that it visits there
+    routed = open_.mapInArrow(route, "row long, id long, v array<double>, floor double, units array<struct<group:long,units:array<string>>>")
+    again = routed.select("row", "id", "v", "floor", F.inline("units")).select("group", F.lit(1).alias("kind"), F.lit("").alias("unit"), "row", "id", "v", "floor", "units")
+    found = first.union(_visit(entries.union(again), k))
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

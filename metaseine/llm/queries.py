@@ -101,10 +101,11 @@ FROM v JOIN comps c ON c.u = v.vec_id
 OP3_SQL = r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+n AS (SELECT *, row_number() OVER () AS k FROM v),
+s AS (SELECT q.k, q.vec_id AS query_id, c.vec_id, CAST(least(greatest(list_inner_product(q.e, c.e), -9223372036854774784.0), 9223372036854774784.0) AS BIGINT) AS score
+  FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.k <> c.k AND len(q.e) = len(c.e))
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
 #: Copies by the inverse of the Poisson distribution at a number from the MD5 of seed and id.

@@ -139,27 +139,52 @@ def test_secrets(spark):
 def brute_top(rows, k=5, every=50):
     ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in ok:
+    for a, (i, q) in enumerate(ok):
         if i % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i and len(v) == len(q))[:k]
+            best = sorted((-max(-mtree.MOST, min(mtree.MOST, sum(x * y for x, y in zip(q, v)))), j) for b, (j, v) in enumerate(ok) if a != b and len(v) == len(q))[:k]
             out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(best)]
     return sorted(out)
 
 
-def test_mtree_matches_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("group", [1, 16])
+def test_mtree_matches_brute_force(spark, monkeypatch, group):
     r = np.random.default_rng(4)
     base = r.standard_normal((40, 16))
     rows = [(i, [float(x) for x in (base[i % 40] + r.standard_normal(16) * 0.05) / 4]) for i in range(900)]
     rows += [(900 + i, rows[3][1]) for i in range(30)]  # ties
-    rows += [(950, None), (951, [float("inf")] * 16), (952, [None] * 16), (1000, [0.5, 0.5]), (1001, [0.1, -0.2]), (None, rows[0][1]), (1050, []), (1100, [1e30] + [0.0] * 15)]
+    rows += [(950, None), (951, [float("inf")] * 16), (952, [None] * 16), (1000, [0.5, 0.5]), (1001, [0.1, -0.2]), (None, rows[0][1]), (1050, [])]
+    rows += [(100, rows[7][1]), (100, rows[7][1]), (3, rows[3][1])]  # repeated ids, of queries too
+    rows += [(1100, [1e30] + [0.0] * 15), (1150, [-3e38] * 16), (1200, [1e9, -1e9] * 8), (1201, [0.0, 1e6] * 8)]
     monkeypatch.setattr(mtree, "UNIT", 128)
     monkeypatch.setattr(mtree, "LEAF", 16)
     monkeypatch.setattr(mtree, "PER_PIVOT", 100)
-    rows = [x for x in rows if x[0] != 1100]
+    monkeypatch.setattr(mtree, "GROUP", group)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit(1), "v": F.lit("x"), "unit": F.lit(2), "score": F.lit(3)})
     got = sorted(tuple(x) for x in mtree.top_k(df).collect())
     assert got == brute_top(rows)
-    assert mtree.top_k(df.limit(0)).count() == 0
+
+
+def test_mtree_odd_tables(spark):
+    schema = "vec_id long, embedding array<double>"
+    assert mtree.top_k(spark.createDataFrame([], schema)).count() == 0
+    assert mtree.top_k(spark.createDataFrame([(50, [1.0])], schema)).count() == 0
+    got = mtree.top_k(spark.createDataFrame([(50, [1e308, 1.0]), (51, [1.0, 1.0]), (52, [-1.0, 0.0])], schema)).collect()
+    assert [(x["vec_id"], x["score"]) for x in sorted(got, key=lambda x: x["rank"])] == [(51, mtree.MOST), (52, -mtree.MOST)]
+
+
+def test_mtree_skips_what_bounds_exclude(monkeypatch):
+    r = np.random.default_rng(5)
+    x = np.concatenate([np.rint(40 * r.standard_normal((200, 8)) + c) for c in 500 * r.standard_normal((20, 8))])
+    monkeypatch.setattr(mtree, "LEAF", 32)
+    tree = mtree.Node(x[0], x, np.arange(len(x)), np.arange(len(x)), 0.0)
+    done = []
+    exact = mtree.dots
+    monkeypatch.setattr(mtree, "dots", lambda a, b: done.append(len(a) * len(b)) or exact(a, b))
+    best = mtree.Best(50, 5, np.full(50, -np.inf))
+    mtree.search(tree, x[:50], np.arange(50), best, np.arange(50))
+    full = exact(x[:50], x)
+    full[np.arange(50), np.arange(50)] = -(2**62)
+    assert (best.scores == -np.sort(-full, axis=1)[:, :5]).all() and sum(done) < 0.2 * full.size
 
 
 # 4
