@@ -9,9 +9,11 @@ source's characters to the power ``temperature``; ``budget`` is the length of th
 may be given instead (sources not named get none). Sizes are summed over all rows before they meet a document.
 
 A null source is a source of its own. A source without characters has the rate ``budget``. Null texts have no characters but are
-replicated like others. Null ids hash as the empty id. Columns called copy_no and shuffle_key are replaced.
+replicated like others. Rows without an id, and rows whose id another row has too, are told apart by their position in the table, so that each has a
+number of copies and keys of its own. Columns called copy_no and shuffle_key are replaced.
 
-A rate above ``MOST`` is drawn as a sum of independent Poisson numbers of rates up to ``MOST``, each at a uniform number of its own.
+A rate above ``MOST`` is drawn as a sum of independent Poisson numbers of rates up to ``MOST``, each at a uniform number of its own. Copies
+of a source with a high rate are made ``CHUNK`` at a time, the chunks spread over the tasks. Every row has a shuffle_key of its own.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SEED, TEMPERATURE, BUDGET = 17, 0.5, 1.0
 BROADCAST_ROWS = 10_000
 #: The greatest rate of one draw: exp(-rate) is a normal number up to about 708.
 MOST = 500.0
+#: Copies of a row that one task makes at a time.
+CHUNK = 1000
 
 
 def uniform(*parts: Column) -> Column:
@@ -65,15 +69,33 @@ def rates(documents: DataFrame, weights: dict[str, float] | None = None, tempera
     return sizes.select("source", F.when(F.col("size") > 0, share / F.col("size")).otherwise(F.lit(budget)).alias("rate"))
 
 
+def named(documents: DataFrame, id_col: str) -> DataFrame:
+    """``documents`` with __at, the row's position, and __name: the id as text, with the position where the id is null or not the row's alone."""
+    rows = documents.withColumn("__at", F.monotonically_increasing_id())
+    text, at = F.col(id_col).cast("string"), F.concat(F.lit("@"), F.col("__at").cast("string"))
+    again = cut(documents.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again"), "repeated")
+    n = again.count()
+    if not n:
+        return rows.withColumn("__name", F.coalesce(text, at))
+    again = F.broadcast(again) if n <= BROADCAST_ROWS else again
+    return rows.join(again, F.col(id_col) == F.col("__again"), "left").withColumn("__name", F.when(F.col(id_col).isNull() | F.col("__again").isNotNull(), F.concat(F.coalesce(text, F.lit("")), at)).otherwise(text)).drop("__again")
+
+
 def replicate(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, budget: float = BUDGET, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``documents``, a row for each copy, with copy_no from 0 and shuffle_key, in the order of shuffle_key within partitions by it."""
     table = cut(rates(documents, weights, temperature, budget, source_col, text_col), "rates")
     small = table.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    if table.count() <= BROADCAST_ROWS:
+    n, most = table.agg(F.count("*"), F.max("rate")).first()
+    if n <= BROADCAST_ROWS:
         small = F.broadcast(small)
     docs = documents.drop("copy_no", "shuffle_key")
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    name = F.col("__name")
     count = poisson(F.col("__rate"), F.lit(str(seed)), name)
-    many = docs.join(small, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__n", count).where("__n > 0")
-    copies = many.withColumn("copy_no", F.explode(F.expr("sequence(0, __n - 1)"))).withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("copy_no").cast("string")).cast("binary")))
+    many = named(docs, id_col).join(small, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__n", count).where("__n > 0")
+    if (most or 0) <= CHUNK:
+        copies = many.withColumn("copy_no", F.explode(F.expr("sequence(0, __n - 1)")))
+    else:
+        chunks = many.withColumn("__chunk", F.explode(F.expr(f"sequence(0, cast((__n - 1) div {CHUNK} as int))"))).repartition("__at", "__chunk")
+        copies = chunks.withColumn("copy_no", F.explode(F.expr(f"sequence(__chunk * {CHUNK}, least(__n, (__chunk + 1) * {CHUNK}) - 1)")))
+    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("copy_no").cast("string")).cast("binary")))
     return copies.select(*docs.columns, "copy_no", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
