@@ -42,7 +42,7 @@ def cut(df: DataFrame, name: str = "table", path: str | None = None) -> DataFram
     """Write ``df`` as Parquet in the shared folder and read it back: no lineage, nothing held in executors."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

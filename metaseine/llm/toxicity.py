@@ -43,6 +43,8 @@ HELD, BROADCAST_ROWS = 1 << 22, 1_000_000
 TOP = 3
 #: The bound of the sample of learned texts that the curve is fitted on, of each class, and one text in so many may be in it.
 PER_CLASS, PART = 3000, 4
+#: Pairs that a task gathers before it sends them on.
+BUFFER = 1 << 20
 #: Weights of the three measures and 1, where no curve can be fitted.
 CURVE = (2.0, 4.0, 2.0, -17.0)
 _words = re.compile(r"[^\W_]+").findall
@@ -50,8 +52,8 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def word_ids(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words of a text, in lower case."""
-    return np.array([xxhash.xxh64_intdigest(w) for w in _words((text or "").lower())], np.uint64).view(np.int64)
+    """48-bit hashes of the words of a text, in lower case."""
+    return (np.array([xxhash.xxh64_intdigest(w) for w in _words((text or "").lower())], np.uint64) >> np.uint64(16)).view(np.int64)
 
 
 def before(ids: np.ndarray) -> np.ndarray:
@@ -67,24 +69,28 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def pairs_of(texts: list[str | None], kinds: list[int]) -> pa.RecordBatch:
-    """(w, v, kind, n): in how many of the texts of a kind each pair stands."""
-    found = [np.empty((0, 2), np.int64)]
-    kind = [np.empty(0, np.int8)]
+def pairs_of(texts: list[str | None], kinds: list[int]) -> np.ndarray:
+    """Rows (w, v, kind, n): in how many of the texts of a kind each pair stands."""
+    found = [np.empty((0, 4), np.int64)]
     for text, k in zip(texts, kinds):
         w = word_ids(text)
         v = before(w)
         at = np.unique(pair_key(v, w), return_index=True)[1]
-        found.append(np.column_stack((w[at], v[at])))
-        kind.append(np.full(len(at), k, np.int8))
-    both, kind = np.concatenate(found), np.concatenate(kind)
-    order = np.lexsort((kind, both[:, 1], both[:, 0]))
-    both, kind = both[order], kind[order]
-    new = np.ones(len(both), bool)
-    new[1:] = (both[1:] != both[:-1]).any(axis=1) | (kind[1:] != kind[:-1])
+        found.append(np.column_stack((w[at], v[at], np.full((len(at), 2), (k, 1)))))
+    return summed(found)
+
+
+def summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (w, v, kind, n) with the numbers of equal pairs and kinds added up."""
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
     at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(both))).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(both[at, 0]), pa.array(both[at, 1]), pa.array(kind[at]), pa.array(n)], names=["w", "v", "kind", "n"])
+    out = rows[at]
+    if len(at):
+        out[:, 3] = np.add.reduceat(rows[:, 3], at)
+    return out
 
 
 #: What is known of a word: different words before it in ordinary, toxic and both kinds of texts; as a first word, the sums of its pairs' counts in
@@ -200,8 +206,8 @@ class Tables:
             back[c] = (total[c] - left) / total[c]
         out = Tables(words.where("k > 1 or types > ones"), pairs.where("o > 1 or t > 1"), Totals(word, pair, total, back))
         if out.words.count() + out.pairs.count() <= HELD:
-            w = out.words.select("id", *(F.col(c).cast("int") for c in RECORD)).toArrow()
-            p = out.pairs.select("v", "w", F.col("o").cast("int"), F.col("t").cast("int")).toArrow()
+            w = _small(out.words.select("id", *RECORD), RECORD)
+            p = _small(out.pairs.select("v", "w", "o", "t"), "ot")
             ids = w.column("id").to_numpy()
             keys = pair_key(p.column("v").to_numpy(), p.column("w").to_numpy())
             rows, order = np.argsort(ids), np.argsort(keys)
@@ -216,11 +222,17 @@ class Tables:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(pair_key(b.column(0).to_numpy(), b.column(1).to_numpy())), b.column(2)], names=["key", "value"])
 
-        words = self.words.select(F.lit(WORD).alias("kind"), F.col("id").alias("key"), F.array(*(F.col(c).cast("int") for c in RECORD)).alias("value"))
-        pairs = self.pairs.select("v", "w", F.array(F.col("o").cast("int"), F.col("t").cast("int")).alias("value")).mapInArrow(named, "key long, value array<int>")
+        words = self.words.select(F.lit(WORD).alias("kind"), F.col("id").alias("key"), F.array(*RECORD).alias("value"))
+        pairs = self.pairs.select("v", "w", F.array("o", "t").alias("value")).mapInArrow(named, "key long, value array<long>")
         return words.unionByName(pairs.select(F.lit(PAIR).alias("kind"), "key", "value"))
 
 
+def _small(table: DataFrame, columns) -> pa.Table:
+    """``table`` on the driver, its counts with 32 bits where these do."""
+    most = table.agg(F.max(F.greatest(*columns))).first()[0] or 0
+    return table.withColumns({c: F.col(c).cast("int") for c in columns} if most < 1 << 31 else {}).toArrow()
+
+
 NAMES = ("__most", "__top", "__mean")
 
 
@@ -257,7 +269,7 @@ def measured(documents: DataFrame, tables: Tables, text_col: str) -> DataFrame:
             for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 parts = [sorted((x["key"], x["value"]) for x in found or () if x["kind"] == k) for k in (WORD, PAIR)]
                 ids = [np.array([k for k, _ in p], np.int64) for p in parts]
-                values = [np.array([v for _, v in p], np.int32).reshape(-1, n) for p, n in zip(parts, (len(RECORD), 2))]
+                values = [np.array([v for _, v in p], np.int64).reshape(-1, n) for p, n in zip(parts, (len(RECORD), 2))]
                 got.append(measures(Counts(totals, ids[0], values[0], ids[1], values[1]).ratios(word_ids(text))))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.float64()) for k in range(3))], names=["__row", *NAMES])
 
@@ -319,33 +331,45 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
     part = F.pmod(F.xxhash64("h", F.lit(23)), F.lit(PART)) == 0
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: list[np.ndarray] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows = summed(gathered)
+            gathered.clear()
+            for at in range(0, len(rows), 65536):
+                some = rows[at : at + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(some[:, 3] * 4 + some[:, 2])], names=["w", "v", "n"])
+
         for b in slices(batches, 2048, 4):
-            yield pairs_of(b.column(0).to_pylist(), b.column(1).to_pylist())
+            gathered.append(pairs_of(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            if sum(map(len, gathered)) >= BUFFER:
+                yield from sent()
+        if gathered:
+            yield from sent()
 
     # kinds: 0 ordinary, 1 toxic; 2 and 3 the same in the part that the curve is fitted on
     kind = (F.col("y") + F.when(part, 2).otherwise(0)).cast("int")
-    found = texts.select("text", kind.alias("kind")).mapInArrow(counted, "w long, v long, kind byte, n int")
-    count = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0)).cast("int")
+    found = texts.select("text", kind.alias("kind")).mapInArrow(counted, "w long, v long, n long").repartition("w", "v")
+    count = lambda *kinds: F.sum(F.when(F.col("n").bitwiseAND(3).isin(*kinds), F.shiftright("n", 2)).otherwise(0))
     pairs = cut(found.groupBy("w", "v").agg(count(0, 2).alias("o"), count(1, 3).alias("t"), count(0).alias("fit_o"), count(1).alias("fit_t")), "pairs")
 
-    def record(o: str, t: str, first: bool, prefix: str) -> list[Column]:
-        n, zero = F.col(o) + F.col(t), F.lit(0)
-        as_second = [(F.col(o) > 0).cast("int"), (F.col(t) > 0).cast("int"), (n > 0).cast("int"), *[zero] * 5]
-        as_first = [*[zero] * 3, F.col(o), F.col(t), (n > 0).cast("int"), (n == 1).cast("int"), (n == 2).cast("int")]
-        return [x.alias(prefix + c) for c, x in zip(RECORD, as_first if first else as_second)]
-
-    roles = F.array(*(F.struct(F.col(at).alias("id"), *record("o", "t", first, ""), *record("fit_o", "fit_t", first, "fit_")) for at, first in (("w", False), ("v", True))))
-    columns = [p + c for p in ("", "fit_") for c in RECORD]
-    words = cut(pairs.select(F.explode(roles).alias("r")).select("r.*").groupBy("id").agg(*(F.sum(c).alias(c) for c in columns)), "words")
-    tables = Tables.of(words.select("id", *RECORD), pairs.select("w", "v", "o", "t"))
-    if tables is None:
-        return ToxicityModel()
-    model = ToxicityModel(tables)
+    def record(o: Column, t: Column, first: bool) -> list[Column]:
+        n, zero = o + t, F.lit(0)
+        return [zero, zero, zero, o, t, (n > 0).cast("int"), (n == 1).cast("int"), (n == 2).cast("int")] if first else [(o > 0).cast("int"), (t > 0).cast("int"), (n > 0).cast("int"), *[zero] * 5]
+
+    def role(first: bool) -> Column:
+        # what the part adds is 0 for most pairs, and such columns cost little in a shuffle
+        full, without = record(F.col("o"), F.col("t"), first), record(F.col("fit_o"), F.col("fit_t"), first)
+        return F.struct(F.col("v" if first else "w").alias("id"), *(x.alias(f"fit_{c}") for c, x in zip(RECORD, without)), *((x - y).alias(f"more_{c}") for c, x, y in zip(RECORD, full, without)))
+
+    sums = pairs.select(F.explode(F.array(role(False), role(True))).alias("r")).select("r.*").groupBy("id").agg(*(F.sum(p + c).alias(p + c) for p in ("fit_", "more_") for c in RECORD))
+    words = cut(sums.select("id", *((F.col(f"fit_{c}") + F.col(f"more_{c}")).alias(c) for c in RECORD), *(f"fit_{c}" for c in RECORD)), "words")
+    weights = CURVE
     fitted = Tables.of(words.select("id", *(F.col(f"fit_{c}").alias(c) for c in RECORD)).where("k > 0 or types > 0"), pairs.select("w", "v", F.col("fit_o").alias("o"), F.col("fit_t").alias("t")).where("o + t > 0"))
-    sizes = {r["y"]: r["n"] for r in names.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    u = F.shiftrightunsigned(F.xxhash64("h", F.lit(29)), 11) / F.lit(float(1 << 53))
-    rate = {k: min(1.0, 1.7 * PART * per_class / max(1, sizes.get(k, 0))) for k in (0, 1)}
     if fitted is not None:
+        sizes = {r["y"]: r["n"] for r in names.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        u = F.shiftrightunsigned(F.xxhash64("h", F.lit(29)), 11) / F.lit(float(1 << 53))
+        rate = {k: min(1.0, 1.7 * PART * per_class / max(1, sizes.get(k, 0))) for k in (0, 1)}
         wanted = texts.where(part & (u < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))).select(F.xxhash64("h", F.lit(29)).alias("at"), "text", "y")
         got = measured(wanted, fitted, "text").toPandas()
         if len(set(got["y"])) == 2:
@@ -354,8 +378,9 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
             # the bounded sample may hold other shares of the classes than the learned texts do
             true, mine = sizes[1] / (sizes[0] + sizes[1]), (got["y"] == 1).mean()
             w[-1] += np.log(true / (1 - true)) - np.log(mine / (1 - mine))
-            model.weights = tuple(float(x) for x in w)
-    return model
+            weights = tuple(float(x) for x in w)
+    del fitted  # one model's counts at a time on the driver
+    return ToxicityModel(Tables.of(words.select("id", *RECORD), pairs.select("w", "v", "o", "t")), weights)
 
 
 def _graded(rows: DataFrame, model: ToxicityModel, threshold: float) -> DataFrame:
