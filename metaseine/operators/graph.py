@@ -31,28 +31,54 @@ def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, ["graph", "node"], "left_semi")
 
 
-def contract(edges: DataFrame, via: DataFrame) -> DataFrame:
-    """Edges with the nodes of ``via`` (graph, node) taken out, their sources joined to their targets; one step of contraction."""
-    through = via.select("graph", F.col("node").alias("v"))
-    into = edges.join(through, (edges["graph"] == through["graph"]) & (edges["dst"] == through["v"]), "left_semi").select("graph", F.col("src").alias("s"), F.col("dst").alias("v"))
-    out = edges.join(through, (edges["graph"] == through["graph"]) & (edges["src"] == through["v"]), "left_semi").select("graph", F.col("src").alias("v"), F.col("dst").alias("d"))
-    joined = into.join(out, ["graph", "v"]).where("s <> d").select("graph", F.col("s").alias("src"), F.col("d").alias("dst"))
-    rest = edges.join(through, (edges["graph"] == through["graph"]) & ((edges["dst"] == through["v"]) | (edges["src"] == through["v"])), "left_anti")
-    return rest.select("graph", "src", "dst").union(joined).distinct()
+def contract(edges: DataFrame, via: DataFrame, rounds: int = 60) -> DataFrame:
+    """(graph, src, dst) of edges, and of paths all of whose inner nodes are in ``via`` (graph, node); no end is in ``via``, no edge a loop.
+
+    Paths are extended from their ends: a round takes those that end in ``via`` two steps on by the paths that start there, whose lengths double, so
+    chains of n nodes take log n rounds. Each round is written and read back.
+    """
+    from ..sources.state import new_folder, remove, written
+
+    spark = edges.sparkSession
+    base = new_folder(spark)
+
+    keys = via.select("graph", "node").distinct()
+    start, end = keys.withColumnRenamed("node", "src"), keys.withColumnRenamed("node", "dst")
+    plain = edges.select("graph", "src", "dst").distinct()
+    outer = plain.join(start, ["graph", "src"], "left_anti")
+    direct = outer.join(end, ["graph", "dst"], "left_anti")
+    into = outer.join(end, ["graph", "dst"], "left_semi").select("graph", "src", "dst")
+    # hops (src in via, dst anywhere): the nodes that a path inside via leads to
+    hops = written(plain.join(start, ["graph", "src"], "left_semi").where("src <> dst").select("graph", "src", "dst"), f"{base}/0")
+    size = hops.count()
+    for k in range(1, rounds + 1):
+        further = hops.select("graph", "src", F.col("dst").alias("m")).join(hops.select("graph", F.col("src").alias("m"), "dst"), ["graph", "m"]).select("graph", "src", "dst")
+        hops = written(hops.union(further).where("src <> dst").distinct(), f"{base}/{k}")
+        remove(spark, f"{base}/{k - 1}")
+        before, size = size, hops.count()
+        if size == before:
+            break
+    else:
+        raise RuntimeError(f"no fixed point of the contraction after {rounds} rounds")
+    ends = hops.join(end, ["graph", "dst"], "left_anti").select("graph", F.col("src").alias("v"), F.col("dst").alias("d"))
+    led = into.select("graph", "src", F.col("dst").alias("v")).join(ends, ["graph", "v"]).select("graph", "src", F.col("d").alias("dst"))
+    return direct.select("graph", "src", "dst").union(led).where("src <> dst").distinct()
 
 
 def reaching(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(graph, node): the seeds that have an incoming edge, and all that reach them. Each round is written and read back."""
+    """(graph, node): the seeds that have an incoming edge, and all that reach them. Each round writes what is new in it."""
     from ..sources.state import written
 
     front = written(edges.select("graph", F.col("dst").alias("node")).distinct().join(seeds.select("graph", "node"), ["graph", "node"], "left_semi"))
-    seen = front
-    for _ in range(rounds):
+    seen = front  # a union of written tables, one a round
+    for k in range(rounds):
         if front.isEmpty():
             return seen
         up = edges.join(front.withColumnRenamed("node", "dst"), ["graph", "dst"]).select("graph", F.col("src").alias("node")).distinct()
         front = written(up.join(seen, ["graph", "node"], "left_anti"))
-        seen = written(seen.union(front))
+        seen = seen.union(front)
+        if k % 16 == 15:  # few enough tables
+            seen = written(seen)
     raise RuntimeError(f"paths of more than {rounds} edges")
 
 

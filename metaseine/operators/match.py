@@ -7,6 +7,7 @@ shuffle, by entity, and no text but a snippet travels through it.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -58,28 +59,44 @@ class SearchSpec:
         if self.saved_kinds is not None and (self.node_types or self.inputs):
             raise SearchError("stored prompts have no nodes to filter")
         for t in (*self.terms, *self.excluded) if self.regex else ():
-            try:
-                re.compile(t)
-            except re.error as x:
-                raise SearchError(f"bad regular expression {t!r}: {x}") from None
+            check_pattern(t)
+
+
+def renamed_groups(term: str) -> str:
+    """A regular expression with its named groups as the engine wants them: (?<g1>…), whose names have no underscore."""
+    names = {n: f"g{k}" for k, n in enumerate(dict.fromkeys(re.findall(r"\(\?P<(\w+)>", term)))}
+    term = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{names[m[1]]}>", term)
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{names.get(m[1], m[1])}>", term)
 
 
 def term_pattern(term: str, regex: bool = False, case_sensitive: bool = False) -> str:
     """The engine's regular expression for a term: dot matches newlines, case by Unicode, classes by Unicode in a regex."""
-    import unicodedata
-
     term = unicodedata.normalize("NFC", term)
-    body = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", term)) if regex else "".join(c if c.isalnum() or not c.isascii() else "\\" + c for c in term)
+    body = renamed_groups(term) if regex else "".join(c if c.isalnum() or not c.isascii() else "\\" + c for c in term)
     return ("(?s" if case_sensitive else "(?ius") + ("U)" if regex else ")") + body
 
 
+def check_pattern(term: str) -> None:
+    """Raise SearchError for a regular expression that cannot run: the engine itself compiles it where there is a session."""
+    from pyspark import SparkContext
+
+    jvm = SparkContext._jvm
+    try:
+        if jvm is not None:
+            jvm.java.util.regex.Pattern.compile(term_pattern(term, regex=True))
+        else:
+            re.compile(term)
+    except Exception as x:  # the engine's error comes wrapped
+        raise SearchError(f"bad regular expression {term!r}: {str(x).splitlines()[0]}") from None
+
+
 def matches(text: Column, term: str, regex: bool = False, case_sensitive: bool = False) -> Column:
     return text.rlike(term_pattern(term, regex, case_sensitive))
 
 
 def snippet(text: Column, pattern: str) -> Column:
     """The text around the first match of ``pattern``, marked where it is cut, on one line."""
-    found = F.regexp_extract(text, f"({pattern})" if not pattern.startswith("(?") else pattern.partition(")")[0] + ")(" + pattern.partition(")")[2] + ")", 1)
+    found = F.regexp_extract(text, pattern, 0)
     # offsets count code points; the match is the first occurrence of what was found at the first match of the pattern
     head = F.element_at(F.split(text, pattern, 2), 1)
     start = F.char_length(head)
@@ -178,13 +195,3 @@ def top(counts: DataFrame, k: int, name: str = "kind") -> DataFrame:
 def completed(rows: DataFrame, keys: Sequence[str], error: Column) -> DataFrame:
     """The groups without an error, with the number of their rows."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_or(error).alias("__e")).where(~F.coalesce("__e", F.lit(False))).drop("__e")
-
-
-def flattened_names(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` with link_name: folders joined by two underscores; a clash gets _1, _2 … before the suffix, in path order."""
-    from pyspark.sql import Window
-
-    flat = F.regexp_replace(F.ltrim(F.col(path), F.lit("/")), "/", "__")
-    k = F.row_number().over(Window.partitionBy("__flat").orderBy(path)) - 1
-    stem, suffix = F.regexp_extract("__flat", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("__flat", r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn("__flat", flat).withColumn("link_name", F.when(k == 0, F.col("__flat")).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), suffix))).drop("__flat")

@@ -20,6 +20,15 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet and read back, so that later steps start from files."""
     spark = df.sparkSession
-    path = path or f"{work_dir(spark)}/{uuid.uuid4().hex}"
+    path = path or new_folder(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

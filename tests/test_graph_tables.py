@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from metaseine.functions.nodegraph import Wiring, is_output, is_relay
+from metaseine.functions.nodegraph import is_output, is_relay
+from metaseine.functions.wiring import contracted, feeding, touched
 from metaseine.operators import graph
-from metaseine.operators.match import SearchSpec, search, snippet, term_pattern
+from metaseine.operators.match import SearchError, SearchSpec, search, snippet, term_pattern
 
 TYPES = ["Load", "Scale", "SaveImage", "Reroute", "PreviewImage", "Mix"]
 
@@ -28,17 +29,27 @@ def test_connected_tables(spark, graphs, mode):
     nodes, edges = graphs
     want = set()
     for g in {n[0] for n in nodes}:
-        w = Wiring({i for h, i, _ in nodes if h == g})
-        for h, s, t in edges:
-            if h == g:
-                w.add(s, t)
-        outputs = {i for h, i, kind in nodes if h == g and is_output(kind)} if mode == "output" else None
-        want |= {(g, i) for i in w.kept(outputs)}
+        known = {i for h, i, _ in nodes if h == g}
+        pairs = {(a, b) for h, a, b in edges if h == g and a != b and a in known and b in known}
+        outputs = {i for h, i, kind in nodes if h == g and is_output(kind)} if mode == "output" else set()
+        want |= {(g, i) for i in feeding(pairs, outputs) or touched(pairs)}
     table = spark.createDataFrame(nodes, "graph int, node string, type string").withColumn("is_output", graph.is_output(F.col("type")))
     got = graph.connected(table, spark.createDataFrame(edges, "graph int, src string, dst string"), mode)
     assert {(r["graph"], r["node"]) for r in got.collect()} == want
 
 
+def test_contraction_of_chains_and_cycles(spark):
+    r = random.Random(9)
+    edges, via = [(0, "a", "v1"), (0, "v1", "v2"), (0, "v2", "b")], [(0, "v1"), (0, "v2")]
+    for g in range(1, 15):
+        n = r.randrange(2, 14)
+        edges += [(g, str(r.randrange(n)), str(r.randrange(n))) for _ in range(r.randrange(0, 3 * n))]
+        via += [(g, str(i)) for i in range(n) if r.random() < 0.5]
+    want = {(g, a, b) for g in range(15) for a, b in contracted({(s, d) for h, s, d in edges if h == g}, {v for h, v in via if h == g})}
+    got = graph.contract(spark.createDataFrame(edges, "graph int, src string, dst string"), spark.createDataFrame(via, "graph int, node string"))
+    assert {tuple(x) for x in got.collect()} == want and (0, "a", "b") in want and got.count() == len(want)
+
+
 def test_predicates_agree(spark):
     kinds = ["SaveImage", "my_PREVIEW", "VideoCombine", "video_combine", "Reroute (x)", "SetNode", "GetNode", "setnode", "Load", None, "WebSocketOut", "Comparer"]
     rows = spark.createDataFrame([(k,) for k in kinds], "k string").select("k", graph.is_output(F.col("k")).alias("o"), graph.is_relay(F.col("k")).alias("r")).collect()
@@ -66,6 +77,16 @@ def test_snippet_counts_code_points(spark):
     text = "😀" * 60 + "\x01\x02needle\n" + "é" * 90
     got = spark.createDataFrame([(text,), ("needle",)], "t string").select(snippet(F.col("t"), term_pattern("NEEDLE")).alias("s")).collect()
     assert got[0]["s"] == "…" + "😀" * 44 + " needle " + "é" * 69 + "…" and got[1]["s"] == "needle"
+    again = spark.createDataFrame([("x" * 60 + "abab" + "y" * 90,)], "t string").select(snippet(F.col("t"), term_pattern(r"(ab)\1", regex=True)).alias("s")).collect()
+    assert again[0]["s"] == "…" + "x" * 46 + "abab" + "y" * 70 + "…"
+
+
+def test_terms_are_checked_before_they_run(spark):
+    units = spark.createDataFrame([(1, 0, "f", "a bb")], "entity int, unit_ord int, label string, text string")
+    assert search(units, SearchSpec((r"(?P<my_n>b)(?P=my_n)",), regex=True)).count() == 1
+    for bad in (r"(a)?(?(1)b|c)", "(", "a**b", r"(?P<x>a)(?P=y)"):
+        with pytest.raises(SearchError):
+            SearchSpec((bad,), regex=True)
 
 
 def test_records_store_the_whole_prompt(spark):
