@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 #: The suffixes searched by default.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "jpe", "png", "gif", "tif", "tiff", "webp", "bmp", "heic", "heif", "avif", "jp2", "dng", "cr2", "nef", "arw", "orf", "rw2", "raf", "psd", "ico")
 VIDEO_SUFFIXES = ("mp4", "mov", "m4v", "webm", "mkv")
-#: Units of a relative age and the date forms read.
-AGE_UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
-DATE_FORMS = ("%Y-%m-%d", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S")
+#: Units of a relative age; the forms of a date, with or without a time.
+AGE_UNITS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days", "w": "weeks"}
+DATE = re.compile(r"(\d{4})-(\d\d?)-(\d\d?)(?:[ T](\d\d?):(\d\d?)(?::(\d\d?))?)?")
+AGE = re.compile(r"(\d+(?:\.\d+)?)\s*([smhdw])", re.IGNORECASE)
 
 
 def human_size(size: Column) -> Column:
@@ -43,16 +44,11 @@ def matches_glob(name: Column, pattern: str) -> Column:
 
 def parse_when(text: str, end_of_day: bool = False, now: datetime | None = None) -> datetime:
     """A date, a date and time, or an age such as 30m, 12h, 3d, 1.5w before now. A bare date as an end is the midnight after it."""
-    text = text.strip()
-    age = re.fullmatch(r"(\d+(?:\.\d+)?)\s*([smhdw])", text, re.IGNORECASE)
-    if age:
-        return (now or datetime.now()) - timedelta(seconds=float(age[1]) * AGE_UNITS[age[2].lower()])
-    for form in DATE_FORMS:
-        try:
-            found = datetime.strptime(text, form)
-        except ValueError:
-            continue
-        return found + timedelta(days=1) if end_of_day and form == DATE_FORMS[0] else found
+    if date := DATE.fullmatch(text.strip()):
+        parts = [int(x) for x in date.groups() if x is not None]
+        return datetime(*parts) + timedelta(days=int(end_of_day and len(parts) == 3))
+    if age := AGE.fullmatch(text.strip()):
+        return (now or datetime.now()) - timedelta(**{AGE_UNITS[age[2].lower()]: float(age[1])})
     raise ValueError(f"{text!r} is neither a date nor an age")
 
 

@@ -11,6 +11,7 @@ import struct
 import xml.etree.ElementTree as xml
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from typing import BinaryIO
 
 from ..functions.text import as_text, clean, decode_value, latin1_as_utf8
@@ -66,7 +67,10 @@ def _png_text(kind: bytes, body: bytes) -> tuple[str, str] | None:
 
 def _inflate(data: bytes) -> bytes:
     z = zlib.decompressobj()
-    return z.decompress(data, BLOCK_LIMIT)
+    out = z.decompress(data, BLOCK_LIMIT)
+    if z.unconsumed_tail:
+        raise Unreadable("a text is too large")
+    return out
 
 
 def png(f: BinaryIO, deep: bool) -> Iterator[tuple[str, str]]:
@@ -81,7 +85,9 @@ def png(f: BinaryIO, deep: bool) -> Iterator[tuple[str, str]]:
             seen |= kind == b"IDAT"
             if not deep or kind == b"IEND":
                 break
-        if kind in (b"tEXt", b"zTXt", b"iTXt") and n <= BLOCK_LIMIT:
+        if kind in (b"tEXt", b"zTXt", b"iTXt"):
+            if n > BLOCK_LIMIT:
+                raise Unreadable("a text is too large")
             try:
                 yield _png_text(kind, take(f, n))
             except zlib.error:
@@ -375,22 +381,19 @@ def mp4(f: BinaryIO, deep: bool) -> Iterator[tuple[str, str]]:
                 todo.insert(0, (a, b))
             elif kind == b"meta":
                 metas.append((a + (0 if data[a + 4 : a + 8] == b"hdlr" else 4), b))
-    for a, b in metas:
-        parts = list(boxes(data, a, b))
-        names = []
-        for _, x, y in (p for p in parts if p[0] == b"keys"):
-            x += 8
-            while x + 8 <= y and (n := int.from_bytes(data[x : x + 4], "big")) >= 8:
-                names.append(data[x + 8 : x + n].decode("utf-8", "replace"))
-                x += n
-        for _, x, y in (p for p in parts if p[0] == b"ilst"):
-            for item, s, t in boxes(data, x, y):
-                k = int.from_bytes(item, "big")
+    for meta in metas:
+        # the entries of keys are laid out as boxes are, after a version and a count
+        names = dict(enumerate((data[a:b].decode("utf-8", "replace") for x, y in within(data, b"keys", meta) for _, a, b in boxes(data, x + 8, y)), 1))
+        for stretch in within(data, b"ilst", meta):
+            for item, *body in boxes(data, *stretch):
                 tag = item.decode("latin-1")
-                name = names[k - 1] if 1 <= k <= len(names) else MP4_ITEMS.get(tag, tag)
-                for kind, u, v in boxes(data, s, t):
-                    if kind == b"data":
-                        yield name, decode_value(data[u + 8 : v])
+                name = names.get(int.from_bytes(item, "big")) or MP4_ITEMS.get(tag, tag)
+                yield from ((name, decode_value(data[a + 8 : b])) for a, b in within(data, b"data", body))
+
+
+def within(data: bytes, wanted: bytes, stretch) -> list[tuple[int, int]]:
+    """The bodies of a stretch's boxes of a kind."""
+    return [(a, b) for kind, a, b in boxes(data, *stretch) if kind == wanted]
 
 
 # Matroska, WebM
@@ -464,22 +467,31 @@ def mkv(f: BinaryIO, deep: bool) -> Iterator[tuple[str, str]]:
                 yield from simple(x, y)
 
 
+#: The fields that hold graphs.
+GRAPH_FIELDS = ("prompt", "workflow")
+
+
+def graphs_in(text: str) -> dict[str, str]:
+    """The graphs that a JSON object holds under the names of the fields for them, as texts."""
+    text = text.strip()
+    data = None
+    if text.startswith("{") and any(f'"{k}"' in text for k in GRAPH_FIELDS):
+        with suppress(ValueError):
+            data = json.loads(text)
+    held = {k: data.get(k) for k in GRAPH_FIELDS} if isinstance(data, dict) else {}
+    return {k: v if isinstance(v, str) else json.dumps(v) for k, v in held.items() if isinstance(v, (str, dict, list))}
+
+
 def split_comment(fields: dict[str, str]) -> dict[str, str]:
-    """A JSON value that holds both graphs becomes the fields prompt and workflow, so that filters on graphs reach them."""
-    out = dict(fields)
+    """The fields, where graphs stand in fields of their own: filters on graphs must reach those that a comment holds."""
+    kept, graphs = {}, {}
     for name, text in fields.items():
-        body = text.strip()
-        if not body.startswith("{") or not ('"prompt"' in body or '"workflow"' in body):
-            continue
-        try:
-            data = json.loads(body)
-        except ValueError:
-            continue
-        parts = {k: json.dumps(data[k]) if isinstance(data[k], (dict, list)) else data[k] for k in ("prompt", "workflow") if isinstance(data, dict) and isinstance(data.get(k), (dict, list, str)) and k not in out}
-        if parts:
-            del out[name]
-            out |= parts
-    return out
+        new = {k: v for k, v in graphs_in(text).items() if k not in fields and k not in graphs}
+        if new:
+            graphs |= new
+        else:
+            kept[name] = text
+    return kept | graphs
 
 
 FORMATS = ((b"\x89PNG\r\n\x1a\n", png, "PNG"), (b"\xff\xd8\xff", jpeg, "JPEG"), (b"GIF87a", gif, "GIF"), (b"GIF89a", gif, "GIF"), (b"II*\0", tiff, "TIFF"), (b"MM\0*", tiff, "TIFF"))
