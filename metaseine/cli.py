@@ -1,4 +1,4 @@
-"""Command line: ``python -m metaseine FOLDER TERM…``. Exit status 0 with matches, 1 without, 2 for a search that can't be run."""
+"""Command line: ``python -m metaseine FOLDER TERM…``. Exit status 0 with matches, 1 without, 2 for a search that can't be run, 130 for an interrupted one."""
 
 from __future__ import annotations
 
@@ -73,6 +73,13 @@ def main(args: list[str] | None = None, out=None) -> int:
     except ValueError as x:
         print(f"metaseine: {x}", file=sys.stderr)
         return 2
+    except KeyboardInterrupt:
+        from pyspark.sql import SparkSession
+
+        if (spark := SparkSession.getActiveSession()) is not None:
+            spark.sparkContext.cancelAllJobs()  # tasks that hang must not hold the exit up
+        print("metaseine: interrupted", file=sys.stderr)
+        return 130
 
 
 def _run(a: argparse.Namespace, spec: SearchSpec, root: str, out) -> int:
@@ -94,7 +101,8 @@ def _run(a: argparse.Namespace, spec: SearchSpec, root: str, out) -> int:
 
         results = written(sinks.link_all(results, root, os.path.abspath(a.link_dir), a.link_type, a.flatten == "path", not a.no_preserve_dates))
     if a.json:
-        out.write(sinks.json_report(results, counters, a.follow_links, a.show) + "\n")
+        sinks.write_json(results, counters, out, a.follow_links, a.show)
+        out.write("\n")
     elif a.csv:
         sinks.write_csv(sinks.csv_rows(results, a.follow_links, a.show), out)
     elif a.null:
@@ -104,6 +112,8 @@ def _run(a: argparse.Namespace, spec: SearchSpec, root: str, out) -> int:
         out.write(f"{counters['matched']} of {counters['scanned']} files match\n")
         for r in tables["scanned"].where("error is not null").orderBy("path").toLocalIterator() if a.errors else ():
             out.write(f"unreadable: {r['path']}: {r['error']}\n")
+        for r in scan.skipped_kinds(tables).orderBy("kind").collect():
+            out.write(f"    {r['n']} skipped: {r['kind']}\n")
         for r in scan.error_kinds(tables, a.broken).orderBy("n", "kind", ascending=[False, True]).limit(3).collect():
             out.write(f"    {r['n']} {r['kind']}\n")
     return 0 if counters["matched"] or before else 1

@@ -25,6 +25,14 @@ def live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return some.join(keys.withColumnRenamed("node", "src"), ["graph", "src"], "left_semi").join(keys.withColumnRenamed("node", "dst"), ["graph", "dst"], "left_semi")
 
 
+def named_edges(nodes: DataFrame) -> DataFrame:
+    """(graph, src, dst) from each node that sets a name to those of its graph that get it; of nodes (graph, node, type, name)."""
+    setter, getter = RELAY_NAMES
+    sets = nodes.where(F.col("type") == setter).select("graph", "name", F.col("node").alias("src"))
+    gets = nodes.where(F.col("type") == getter).select("graph", "name", F.col("node").alias("dst"))
+    return sets.join(gets, ["graph", "name"]).select("graph", "src", "dst")
+
+
 def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The nodes with a live edge."""
     ends = live_edges(edges, nodes).select("graph", F.explode(F.array("src", "dst")).alias("node"))

@@ -167,6 +167,12 @@ def unpivot(table: DataFrame, entity: str, columns: Sequence[str]) -> DataFrame:
     return table.select(F.col(entity).alias("entity"), F.explode(parts).alias("u")).select("entity", "u.unit_ord", "u.label", "u.text")
 
 
+def unpivot_json(table: DataFrame, entity: str, column: str) -> DataFrame:
+    """(entity, unit_ord, label, text): the members of a JSON object as units, in their order."""
+    members = F.posexplode(F.from_json(column, "map<string,string>")).alias("unit_ord", "label", "text")
+    return table.select(F.col(entity).alias("entity"), members)
+
+
 def distinct_targets(rows: DataFrame, target: str, *order: Column | str) -> DataFrame:
     """One row for each ``target``: the first by ``order`` (a minimum of structs, pre-aggregated before the shuffle)."""
     rest = [c for c in rows.columns if c != target]

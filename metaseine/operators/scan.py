@@ -146,7 +146,7 @@ def scan(spark: SparkSession, root: str, spec: SearchSpec, *, follow_links: bool
             walk_options[key] = parse_when(text, end_of_day=key == "until").timestamp()
     files = walk.files(spark, root, **walk_options)
     if skip_dirs is not None:
-        files = files.join(skip_dirs.select("dir").distinct(), "dir", "left_anti")
+        files = pending(files, skip_dirs)
     rows = resolve(files, follow_links)
     todo, passed = rows.where("skipped is null"), rows.where("skipped is not null")
     if index:
@@ -190,6 +190,16 @@ def report(tables: dict[str, DataFrame]) -> DataFrame:
     return a.join(m).join(r).select("scanned", "matched", (F.col("all") - F.col("matched")).alias("duplicates"), "unreadable", "cached", "read", "skipped_links")
 
 
+def skipped_kinds(tables: dict[str, DataFrame]) -> DataFrame:
+    """(kind, n) of the links that are not followed."""
+    return tables["scanned"].where("skipped is not null").groupBy(F.col("skipped").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def pending(files: DataFrame, done: DataFrame) -> DataFrame:
+    """The files outside the folders (dir) that are done."""
+    return files.join(done.select("dir").distinct(), "dir", "left_anti")
+
+
 def error_kinds(tables: dict[str, DataFrame], broken: bool = False) -> DataFrame:
     """(kind, n) of the errors: by the class before the colon, or by the category in brackets."""
     kind: Column = broken_reason(F.col("error")) if broken else F.substring_index("error", ":", 1)

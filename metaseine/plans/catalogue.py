@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import human_size, matches_glob
-from ..operators import graph, match
+from ..operators import graph, match, scan, sinks
 from ..operators.match import SearchSpec, matches, search
+from ..sources import index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,21 +141,29 @@ def q_field_hits(spark, sf_dir):
 
 @query("SELECT event_id, unnest(json_keys(props)) AS field, json_extract_string(props, '$.' || unnest(json_keys(props))) AS text FROM events")
 def q_json_fields(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("field", "text"))
+    return match.unpivot_json(table(spark, sf_dir, "events"), "event_id", "props").select(F.col("entity").alias("event_id"), F.col("label").alias("field"), "text")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND CAST(json_extract_string(props, '$.k') AS INT) % 7 = 0")
+def _one_node(rows: DataFrame, path: str, kind: str, inputs: str) -> DataFrame:
+    """A record for each row whose field ``prompt`` is a graph of one node."""
+    graph = F.concat(F.lit('{"1": {"class_type": '), F.to_json(F.array(kind)).substr(F.lit(2), F.length(F.to_json(F.array(kind))) - 2), F.lit(', "inputs": '), F.col(inputs), F.lit("}}"))
+    return rows.select(F.col(path).cast("string").alias("path"), F.array(F.struct(F.lit(0).alias("ord"), F.lit("prompt").alias("field"), graph.alias("text"))).alias("fields"))
+
+
+@query("SELECT event_id, 'prompt#1' AS label FROM events WHERE contains(json_extract_string(props, '$.k'), '7')")
 def q_input_filter(spark, sf_dir):
-    named = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: F.lower(k).isin("k"))
-    e = table(spark, sf_dir, "events").select("event_id", F.element_at(F.map_values(named), 1).alias("value"))
-    return e.where(F.col("value").isNotNull() & (F.col("value").cast("int") % 7 == 0))
+    """Events as nodes with their properties as inputs; those whose input k has a 7."""
+    spec = SearchSpec(("7",), inputs=("K",), snippets=False)
+    found = search(scan.units(_one_node(table(spark, sf_dir, "events"), "event_id", "event_type", "props"), spec), scan.replaced(spec))
+    return _hits(found, "event_id").select(F.col("event_id").cast("long").alias("event_id"), "label")
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'promo') OR contains(lower(p_type), 'small')")
+@query("SELECT p_partkey, 'prompt#1' AS label FROM part WHERE contains(lower(p_type), 'promo') OR contains(lower(p_type), 'small')")
 def q_node_type(spark, sf_dir):
-    wanted = F.array(F.lit("promo"), F.lit("small"))
-    return table(spark, sf_dir, "part").where(F.exists(wanted, lambda t: F.contains(F.lower("p_type"), t))).select("p_partkey", "p_type")
+    """Parts as nodes of their types."""
+    spec = SearchSpec(("class_type",), scope="node", node_types=("Promo", "SMALL"), snippets=False)
+    parts = table(spark, sf_dir, "part").withColumn("inputs", F.to_json(F.struct("p_name")))
+    return _hits(search(scan.units(_one_node(parts, "p_partkey", "p_type", "inputs"), spec), scan.replaced(spec)), "p_partkey").select(F.col("p_partkey").cast("long").alias("p_partkey"), "label")
 
 
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
@@ -163,43 +172,45 @@ def q_links_extract(spark, sf_dir):
 
 
 def _order_graph(spark, sf_dir):
-    """One graph: customers, and orders of high price that point at them."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1") & (F.col("o_totalprice") > 300000))
-    edges = o.select(F.lit(0).alias("graph"), F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
+    """One graph: customers, and orders that point at them."""
+    edges = table(spark, sf_dir, "orders").select(F.lit(0).alias("graph"), F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
     nodes = table(spark, sf_dir, "customer").select(F.lit(0).alias("graph"), F.concat(F.lit("c"), "c_custkey").alias("node"))
     return nodes.union(edges.select("graph", "src")), edges
 
 
-@query("""WITH o AS (SELECT * FROM orders WHERE o_orderpriority LIKE '1%' AND o_totalprice > 300000)
-SELECT 'c' || c_custkey AS node FROM customer WHERE EXISTS (SELECT 1 FROM o WHERE o_custkey = c_custkey)
-UNION ALL SELECT 'o' || o_orderkey FROM o WHERE EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey)""")
+@query("""SELECT 'c' || c_custkey AS node FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey)""")
 def q_linked(spark, sf_dir):
     nodes, edges = _order_graph(spark, sf_dir)
     return graph.linked(nodes, edges).select("node")
 
 
-@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+@query("SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders WHERE o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
 def q_live_links(spark, sf_dir):
-    live = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(live, "o_orderkey", "left_semi").select("o_orderkey")
+    """Links between nodes that both exist: finished orders, and customers that owe nothing."""
+    _, edges = _order_graph(spark, sf_dir)
+    nodes = table(spark, sf_dir, "customer").where("c_acctbal > 0").selectExpr("0 graph", "'c' || c_custkey node").union(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").selectExpr("0", "'o' || o_orderkey"))
+    return graph.live_edges(edges, nodes).select("src", "dst")
 
 
-@query("SELECT s_suppkey AS src, c_custkey AS dst FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey <= 20")
+@query("SELECT 's' || s_suppkey AS src, 'c' || c_custkey AS dst FROM supplier JOIN customer ON s_nationkey = c_nationkey")
 def q_name_join(spark, sf_dir):
-    setters = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("name"))
-    getters = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dst"), F.col("c_nationkey").alias("name"))
-    return setters.join(getters, "name").select("src", "dst")
+    """Suppliers set the name of their nation, customers get it."""
+    setters = table(spark, sf_dir, "supplier").selectExpr("0 graph", "'s' || s_suppkey node", "'SetNode' type", "cast(s_nationkey as string) name")
+    getters = table(spark, sf_dir, "customer").selectExpr("0", "'c' || c_custkey", "'GetNode'", "cast(c_nationkey as string)")
+    return graph.named_edges(setters.union(getters)).select("src", "dst")
 
 
-@query("""SELECT DISTINCT 'o' || o_orderkey AS src, 'n' || c_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000""")
+@query("""SELECT DISTINCT 'o' || o_orderkey AS src, 'r' || n_regionkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def q_contract(spark, sf_dir):
-    o, c = table(spark, sf_dir, "orders").where("o_totalprice > 400000"), table(spark, sf_dir, "customer")
-    edges = o.selectExpr("0 graph", "'o' || o_orderkey src", "'c' || o_custkey dst").union(c.selectExpr("0", "'c' || c_custkey", "'n' || c_nationkey"))
-    via = c.selectExpr("0 graph", "'c' || c_custkey node")
-    return graph.contract(edges, via).where("src like 'o%'").select("src", "dst")
+    """Orders to regions, with customers and nations taken out of the chains between them."""
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    edges = o.selectExpr("0 graph", "'o' || o_orderkey src", "'c' || o_custkey dst").union(c.selectExpr("0", "'c' || c_custkey", "'n' || c_nationkey")).union(n.selectExpr("0", "'n' || n_nationkey", "'r' || n_regionkey"))
+    via = c.selectExpr("0 graph", "'c' || c_custkey node").union(n.selectExpr("0", "'n' || n_nationkey"))
+    return graph.contract(edges, via).select("src", "dst")
 
 
-_REACH = """WITH RECURSIVE e(src, dst) AS (SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_acctbal > 9000
+_REACH = """WITH RECURSIVE e(src, dst) AS (SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
 r(node) AS (SELECT DISTINCT dst FROM e WHERE dst IN (SELECT 'r' || r_regionkey FROM region WHERE r_name IN ('ASIA', 'EUROPE')) UNION SELECT e.src FROM r JOIN e ON e.dst = r.node)
 SELECT node FROM r"""
@@ -208,20 +219,25 @@ SELECT node FROM r"""
 @query(_REACH)
 def q_reach_output(spark, sf_dir):
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    edges = c.where("c_acctbal > 9000").selectExpr("0 graph", "'c' || c_custkey src", "'n' || c_nationkey dst").union(n.selectExpr("0", "'n' || n_nationkey", "'r' || n_regionkey"))
+    edges = c.selectExpr("0 graph", "'c' || c_custkey src", "'n' || c_nationkey dst").union(n.selectExpr("0", "'n' || n_nationkey", "'r' || n_regionkey"))
     seeds = r.where("r_name in ('ASIA', 'EUROPE')").selectExpr("0 graph", "'r' || r_regionkey node")
     return graph.reaching(edges, seeds).select("node")
 
 
 @query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def q_anti_done(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    files = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("dir"))
+    return scan.pending(files, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("dir"))).select("doc_id")
 
 
-@query("""SELECT d.doc_id, l.doc_id IS NOT NULL AS cached FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id""")
+@query("""SELECT d.doc_id, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) AS cached FROM documents d""")
 def q_cache_join(spark, sf_dir):
-    held = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("cached"))
-    return table(spark, sf_dir, "documents").join(held, "doc_id", "left").select("doc_id", F.coalesce("cached", F.lit(False)).alias("cached"))
+    """Documents as files, and an index of those with a label, which is stale (of another size) where the quality is 0."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    files = docs.select("doc_id", F.col("doc_id").cast("string").alias("target"), F.col("n_chars").alias("length"), F.lit(0).cast("long").alias("mtime_ns"))
+    held = docs.join(labels, "doc_id").select(F.col("doc_id").cast("string").alias("path"), (F.col("n_chars") + 1 - F.col("quality")).alias("size"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(False).alias("deep"), F.expr("array(named_struct('ord', 0, 'field', 'f', 'text', 't'))").alias("fields"))
+    read, found = index.lookup(files, held, False)
+    return read.select("doc_id", F.lit(False).alias("cached")).union(found.select("doc_id", F.lit(True).alias("cached")))
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -294,25 +310,35 @@ def q_ext_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", suffix(F.col("url")).alias("ext")).where(~F.col("ext").isin("com", ""))
 
 
-_FLAT = """WITH n AS (SELECT doc_id, source || '/' || lang || '.png' AS path FROM documents),
-f AS (SELECT doc_id, replace(path, '/', '__') AS flat, row_number() OVER (PARTITION BY replace(path, '/', '__') ORDER BY doc_id) - 1 AS k FROM n)
-SELECT doc_id, CASE WHEN k = 0 THEN flat ELSE replace(flat, '.png', '') || '_' || k || '.png' END AS link_name FROM f"""
-
-
-@query(_FLAT)
+@query("SELECT doc_id, source || '__' || lang || '__' || doc_id || '.png' AS link_name FROM documents")
 def q_flatten_name(spark, sf_dir):
-    from pyspark.sql import Window
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/r/"), "source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".png")).alias("path"))
+    return sinks.link_names(d, "/r", flatten=True).select("doc_id", "link_name")
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.concat("source", F.lit("/"), "lang", F.lit(".png")), "/", "__").alias("flat"))
-    k = F.row_number().over(Window.partitionBy("flat").orderBy("doc_id")) - 1
-    return d.select("doc_id", F.when(k == 0, F.col("flat")).otherwise(F.concat(F.regexp_replace("flat", r"\.png$", ""), F.lit("_"), k.cast("string"), F.lit(".png"))).alias("link_name"))
 
+@query("""WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)
+SELECT doc_id, CASE WHEN k = 0 THEN source || '.png' ELSE source || '_' || k || '.png' END AS link_name FROM n""")
+def q_link_name(spark, sf_dir):
+    """Names that clash, numbered in the order of their paths."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/r/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("/"), "source", F.lit(".png")).alias("path"))
+    return sinks.link_names(d, "/r").select("doc_id", "link_name")
 
-@query("""SELECT count(*) AS scanned, count(*) FILTER (WHERE regexp_matches(text, 'rights', 'is')) AS matched, count(DISTINCT lang) AS kinds, count(*) - count(DISTINCT text) AS duplicates FROM documents""")
+
+@query("""WITH f AS (SELECT doc_id, lang = 'es' AS skipped, lang = 'fr' AS bad, regexp_matches(text, 'the', 'is') AS hit, text FROM documents)
+SELECT count(*) FILTER (WHERE NOT skipped) AS scanned, count(DISTINCT text) FILTER (WHERE hit AND NOT skipped) AS matched, count(*) FILTER (WHERE hit AND NOT skipped) - count(DISTINCT text) FILTER (WHERE hit AND NOT skipped) AS duplicates,
+  count(*) FILTER (WHERE bad) AS unreadable, count(*) FILTER (WHERE doc_id % 2 = 0) AS cached, count(*) FILTER (WHERE doc_id % 2 = 1) AS "read", count(*) FILTER (WHERE skipped) AS skipped_links FROM f""")
 def q_run_report(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", matches(F.col("text"), "rights").alias("hit"), F.sha2("text", 256).alias("key"))
-    by = d.groupBy("key", "lang").agg(F.count("*").alias("n"), F.count_if("hit").alias("m"))
-    return by.agg(F.sum("n").alias("scanned"), F.sum("m").alias("matched"), F.count_distinct("lang").alias("kinds"), (F.sum("n") - F.count_distinct("key")).alias("duplicates"))
+    """Documents as files: Spanish ones are links that are skipped, French ones cannot be read, equal texts are one file."""
+    d = table(spark, sf_dir, "documents")
+    scanned = d.select(F.when(F.col("lang") == "es", "symlink").alias("skipped"), F.when(F.col("lang") == "fr", "Bad: x").alias("error"), (F.col("doc_id") % 2 == 0).alias("cached"))
+    matched = d.where((F.col("lang") != "es") & matches(F.col("text"), "the")).select("doc_id", F.sha2("text", 256).alias("target"))
+    return scan.report({"scanned": scanned, "matched": matched, "results": match.distinct_targets(matched, "target", "doc_id")})
+
+
+@query("SELECT lang AS kind, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY lang")
+def q_skipped_kinds(spark, sf_dir):
+    """Links that are not followed, by kind."""
+    return scan.skipped_kinds({"scanned": table(spark, sf_dir, "documents").select(F.when(F.col("lang") != "en", F.col("lang")).alias("skipped"))})
 
 
 from . import fixtures_queries  # noqa: E402,F401  (registers the queries over built files and graphs)

@@ -1,4 +1,4 @@
-"""Queries that SQL cannot express: byte extraction, graphs and summaries, over files and graphs made from the tables' rows."""
+"""Queries of byte extraction, graphs and summaries, over files and graphs made from the tables' rows; SQL tells what must come out of them."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ def _records(spark, sf_dir):
     return d.select(F.col("doc_id").cast("string").alias("path"), made.alias("fields"))
 
 
-@query()
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, 'prompt#1' AS label FROM documents WHERE regexp_matches(text, 'rights', 'is')")
 def q_graph_units(spark, sf_dir):
     """The nodes that feed an output, as units, for records whose graph has a term in one of them."""
     spec = SearchSpec(("rights",), scope="node", connected="output", snippets=False)
@@ -33,18 +33,22 @@ def q_graph_units(spark, sf_dir):
     return found.select(F.col("entity").alias("path"), F.col("hits")[0]["label"].alias("label"))
 
 
-@query()
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, 'gen_meta:intermediate_prompt_1' AS label FROM documents WHERE regexp_matches(lang, 'en', 'is')")
 def q_saved_prompts(spark, sf_dir):
     spec = SearchSpec(("en",), saved_kinds=("intermediate1",), snippets=False)
     return search(scan.units(_records(spark, sf_dir), spec), scan.replaced(spec)).select(F.col("entity").alias("path"), F.col("hits")[0]["label"].alias("label"))
 
 
-@query()
+_SUMMARY = r"""WITH d AS (SELECT *, coalesce(regexp_matches(text, '\S'), false) AS told FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS path, '{"positive": [' || CASE WHEN told THEN CAST(to_json(text) AS VARCHAR) ELSE '' END || '], "negative": [], "models": [], "loras": [], "samplers": [{"seed": ' || doc_id || ', "steps": 20}], "intermediate": [' || CAST(to_json(lang) AS VARCHAR) || '], "prompt_source": "' || CASE WHEN told THEN 'gen_meta' ELSE 'graph' END || '"}' AS summary FROM d"""
+
+
+@query(_SUMMARY)
 def q_summary(spark, sf_dir):
     return scan.summaries(_records(spark, sf_dir)).select("path", "summary")
 
 
-@query()
+@query("""SELECT '/d/' || doc_id || '.png' AS path, 'note' AS field, '{"text": ' || CAST(to_json(text) AS VARCHAR) || '}' AS text, CAST(NULL AS VARCHAR) AS error FROM documents""")
 def q_extract_png(spark, sf_dir):
     """Each document as the text chunk of a small picture, read back from its bytes."""
 

@@ -5,7 +5,7 @@ import pytest
 
 from metaseine.plans.catalogue import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CATALOGUE_SF", "/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
 
 

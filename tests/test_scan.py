@@ -58,7 +58,9 @@ def test_search_counts_and_sinks(spark, folder, tmp_path):
     assert rows[0] == ["path", "field", "snippet", "link"] and [r[1] for r in rows[1:]] == ["note", "comment"]
     made = sinks.link_all(tables["results"], folder, str(tmp_path / "found"), "copy", flatten=True)
     assert names(made.select("link"), "link") == ["a.png", "sub__c.mp4"]
-    report = json.loads(sinks.json_report(tables["results"], {"matched": 2}))
+    out = io.StringIO()
+    sinks.write_json(tables["results"], {"matched": 2}, out)
+    report = json.loads(out.getvalue())
     assert report["results"][0]["matches"] == [{"field": "note", "snippet": "Sunset café"}]
 
 
