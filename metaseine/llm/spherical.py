@@ -3,7 +3,7 @@
 Filters are directions of structured random product codes, ``CODES`` of them. In each, after a random rotation a unit vector
 is cut into ``BLOCKS`` parts, each part has a book of ``WORDS`` random directions, and a filter is a choice of one word a part.
 A vector belongs to every filter whose direction it exceeds a limit with, one that a random vector passes with ``LISTS`` filters
-of a code; as a filter's score is the sum of its parts' scores, these are list-decoded from the sorted part scores, without going through all filters.
+of a code. Words and lists grow with the label of the most vectors (``books``), so a vector meets a shrinking share of them. As a filter's score is the sum of its parts' scores, these are list-decoded from the sorted part scores, without going through all filters.
 
 Vectors of equal labels that meet in a filter are compared by 8-bit sketches with proven error bounds, so that no link is lost,
 and a filter gives back a spanning forest of what may be links. Its components are then verified in double precision, in
@@ -32,6 +32,17 @@ from ._shared import components, cut, slices
 
 COSINE = 0.93
 CODES, BLOCKS, WORDS, LISTS, SEED = 2, 2, 256, 50, 31
+#: Words at most, and the vectors of a label that a word stands for.
+MOST_WORDS, PER_WORD = 4096, 64
+
+
+def books(vectors: int) -> tuple[int, int]:
+    """(words, lists) of a code for labels of up to so many vectors. At the cosine of the threshold lists must grow as the root of the
+    words for the same recall, while two random vectors share a filter as often as lists**2 / words**2."""
+    words = WORDS
+    while words < MOST_WORDS and words * PER_WORD < vectors:
+        words *= 2
+    return words, math.ceil(LISTS * math.sqrt(words / WORDS))
 #: Vectors that a block holds, and pairs of sketches that are compared at a time.
 BLOCK, PAIRS = 512, 200_000
 
@@ -39,23 +50,26 @@ BLOCK, PAIRS = 512, 200_000
 class ProductCode:
     """The filters of one code for one length of vectors."""
 
-    def __init__(self, length: int, which: int = 0):
+    def __init__(self, length: int, which: int = 0, words: int = WORDS, lists: int = LISTS):
+        self.words = words
         r = np.random.default_rng((SEED, length, which))
         self.rotation = np.linalg.qr(r.standard_normal((length, length)))[0]
         self.parts = np.array_split(np.arange(length), min(BLOCKS, length))
         self.books = []
         for p in self.parts:
-            book = r.standard_normal((WORDS, len(p)))
+            book = r.standard_normal((words, len(p)))
             self.books.append(book / np.linalg.norm(book, axis=1, keepdims=True))
         if length < 8:  # too few directions to tell vectors apart by
             self.limit = -np.inf  # all in one filter, which is exact
             return
         trial = r.standard_normal((64, length))
         trial /= np.linalg.norm(trial, axis=1, keepdims=True)
+        # the greatest sums are of words that score high in each part
         total = np.zeros((len(trial), 1))
         for p, book in zip(self.parts, self.books):
-            total = (total[:, :, None] + (trial[:, p] @ book.T)[:, None, :]).reshape(len(trial), -1)
-        self.limit = float(np.partition(total.ravel(), -LISTS * len(trial))[-LISTS * len(trial)])
+            best = -np.sort(-(trial[:, p] @ book.T), axis=1)[:, : 8 * lists]
+            total = (total[:, :, None] + best[:, None, :]).reshape(len(trial), -1)
+        self.limit = float(np.partition(total.ravel(), -lists * len(trial))[-lists * len(trial)])
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) for each filter that a row of unit vectors exceeds the limit with."""
@@ -68,14 +82,14 @@ class ProductCode:
             rest = sum(best[k + 1 :]) if k + 1 < len(scores) else np.zeros(len(unit))
             got = []
             alive = np.arange(len(rows))
-            for j in range(WORDS if self.limit > -np.inf else 1):  # codes of a part in the order of their scores, as long as any can do
+            for j in range(self.words if self.limit > -np.inf else 1):  # codes of a part in the order of their scores, as long as any can do
                 code = order[rows[alive], j]
                 more = total[alive] + s[rows[alive], code]
                 ok = more + rest[rows[alive]] >= self.limit
                 alive, code, more = alive[ok], code[ok], more[ok]
                 if not len(alive):
                     break
-                got.append((rows[alive], number[alive] * WORDS + code, more))
+                got.append((rows[alive], number[alive] * self.words + code, more))
             if not got:
                 return np.zeros(0, np.int64), np.zeros(0, np.int64)
             rows, number, total = (np.concatenate(x) for x in zip(*got))
@@ -85,12 +99,13 @@ class ProductCode:
 
 
 @lru_cache(maxsize=64)
-def code_for(length: int, which: int) -> ProductCode:
-    return ProductCode(length, which)
+def code_for(length: int, which: int, words: int = WORDS, lists: int = LISTS) -> ProductCode:
+    return ProductCode(length, which, words, lists)
 
 
 def filters(classes: DataFrame) -> DataFrame:
     """(label, filter, rep): a row for each filter of each class; a filter's number tells code and length too."""
+    words, lists = books(classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
@@ -103,8 +118,8 @@ def filters(classes: DataFrame) -> DataFrame:
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
                 for which in range(CODES):
-                    row, number = code_for(int(length), which).decode(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(label[at[row]]), pa.array((int(length) * CODES + which) * WORDS**BLOCKS + number), pa.array(rep[at[row]])], names=["label", "filter", "rep"])
+                    row, number = code_for(int(length), which, words, lists).decode(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(label[at[row]]), pa.array((int(length) * CODES + which) * words**BLOCKS + number), pa.array(rep[at[row]])], names=["label", "filter", "rep"])
 
     return classes.select("label", "rep", "vector").mapInArrow(run, "label long, filter long, rep long")
 
