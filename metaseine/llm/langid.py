@@ -31,7 +31,7 @@ UNDETERMINED = "und"
 def _letters() -> np.ndarray:
     """code point -> its letter in lower case, or a space."""
     table = np.full(0x110000, 32, np.uint32)
-    for cp in range(0x30000):
+    for cp in range(0x40000):  # the planes above have no letters
         c = chr(cp)
         if c.isalpha():
             low = c.lower()
