@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import bounded, components, cut, keep_likely, likely, slices
@@ -234,10 +234,10 @@ def confirmed_links(members: DataFrame, documents: DataFrame, id_col: str, text_
     return placed.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for every row of ``documents``.
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, keep_key: bool = False) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept[, key]) for every row of ``documents``.
 
-    ``component_id`` is the smallest id that links reach, ``kept`` whether that is the row's own.
+    ``component_id`` is the smallest id that links reach, ``kept`` whether that is the row's own; ``key`` names the row's set.
     """
     slim = cut(signatures(documents, id_col, text_col, words), "signatures")
     usable = slim.where("key is not null and id is not null")
@@ -245,23 +245,43 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     posted = cut(postings(classes), "postings")
     members = cut(matched_members(posted, similarity), "members")
     comps = components(confirmed_links(members, documents, id_col, text_col, words, similarity))
-    named = usable.select("id", "n_shingles", "key").join(classes.select("key", "rep"), "key").join(comps, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    rest = slim.where("key is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return named.unionByName(rest).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    named = usable.select("id", "n_shingles", "key").join(classes.select("key", "rep"), "key").join(comps, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "key")
+    rest = slim.where("key is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"), "key")
+    return named.unionByName(rest).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), *["key"] * keep_key)
 
 
 def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``documents`` without those whose group has a document of a smaller id; all columns stay.
 
-    Rows without an id stay. Of rows that share an id one stays, whichever comes first by its columns' hash.
+    Rows without an id stay, and so do rows without words. Rows that share an id are judged by their own texts: of those with one set one stays
+    if the set's group has no smaller id.
     """
-    found = near_duplicates(documents, id_col, text_col, words, similarity).where(F.col(id_col).isNotNull())
-    ids = cut(found.groupBy(F.col(id_col).alias("__id")).agg(F.min(F.col("kept").cast("int")).alias("__kept"), F.count("*").alias("__n")).where("__kept = 0 or __n > 1"), "dropped")
+    found = near_duplicates(documents, id_col, text_col, words, similarity, keep_key=True).where(F.col(id_col).isNotNull())
+    found = cut(found.select(F.col(id_col).alias("__id"), "kept", "key"), "kept")
+    ids = cut(found.groupBy("__id").agg(F.min(F.col("kept").cast("int")).alias("__kept"), F.count("*").alias("__n")).where("__kept = 0 or __n > 1"), "dropped")
     small = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     rest = documents.join(small.select("__id"), F.col(id_col) == F.col("__id"), "left_anti")
-    again = ids.where("__kept = 1").select("__id")
+    again = ids.where("__n > 1").select("__id")
     if again.isEmpty():
         return rest
-    order = Window.partitionBy("__id").orderBy(F.xxhash64(*documents.columns))
-    one = documents.join(again, F.col(id_col) == F.col("__id")).withColumn("__k", F.row_number().over(order)).where("__k = 1")
-    return rest.unionByName(one.select(*documents.columns))
+    rows = documents.join(again, F.col(id_col) == F.col("__id"))
+    keyed = _keyed(rows, text_col, words)
+    good = found.where("kept and key is not null").join(again, "__id").select("__id", F.col("key").alias("__key")).distinct()
+    same = keyed.where("__key is not null").join(good, ["__id", "__key"], "left_semi")
+    # pre-aggregated, for one id may have very many rows
+    one = same.groupBy("__id", "__key").agg(F.min_by(F.struct(*documents.columns), F.xxhash64(*documents.columns)).alias("__r")).select("__r.*")
+    return rest.unionByName(one).unionByName(keyed.where("__key is null").select(*documents.columns))
+
+
+def _keyed(rows: DataFrame, text_col: str, words: int) -> DataFrame:
+    """``rows`` with __key: the name of each text's set, as in ``signatures``."""
+    from .langid import _schema
+
+    at = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = (shingle_hashes(t, words) for t in b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], pa.binary())], names=[*b.schema.names, "__key"])
+
+    return rows.mapInArrow(run, _schema(rows, "__key binary"))
