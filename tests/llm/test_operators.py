@@ -104,6 +104,25 @@ def test_spherical_recall_at_the_threshold():
     assert len(met) >= 0.998 * 4000
 
 
+def test_recall_of_larger_books():
+    r = np.random.default_rng(8)
+    u = r.standard_normal((1000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    z = r.standard_normal(u.shape)
+    z -= (z * u).sum(axis=1, keepdims=True) * u
+    v = 0.93 * u + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    words, lists = spherical.books(60_000)
+    assert words == 1024 and spherical.books(100) == (256, 50) and spherical.books(10**9)[0] == 4096
+    met, shared = set(), 0
+    for which in range(spherical.CODES):
+        code = spherical.code_for(64, which, words, lists)
+        filters = set(zip(*map(np.ndarray.tolist, code.decode(u))))
+        there = list(zip(*map(np.ndarray.tolist, code.decode(v))))
+        met |= {i for i, f in there if (i, f) in filters}
+        shared += sum(((i + 1) % 1000, f) in filters for i, f in there)
+    assert len(met) >= 995 and shared < 0.04 * 1000  # of vectors that have nothing to do with each other
+
+
 def test_list_decoding_finds_every_filter():
     code = spherical.ProductCode(24)
     x = np.random.default_rng(0).standard_normal((20, 24))
@@ -133,6 +152,37 @@ def test_secrets(spark):
     assert out[0]["text"].count("[SECRET]") == 4 and out[1]["text"] is None
 
 
+def brute_secrets(text):
+    """The base spans as they are stated, without shortcuts."""
+    rules = ((r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6), (r"AKIA[A-Z0-9]+", 0, 20), (r"[0-9a-f]+", 0, 24))
+    spans = [[(m.start(), m.end()) for m in re.finditer(p, text or "") if len(m[g]) >= n] for p, g, n in rules]
+    names = ("assign", "access", "hex")
+    listed = sorted((a, k, b) for k, some in enumerate(spans) for a, b in some)
+    return [len(x) for x in spans], hashlib.sha256(",".join(f"{names[k]}:{a}:{b}" for a, k, b in listed).encode()).hexdigest()
+
+
+def test_secrets_match_brute_force(spark):
+    r = random.Random(21)
+    bits = ["password", "PASSWD", "Secret", "token", "api_key", "ApiKey", "=", ": ", '"', "'", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", "é", " ", "\n", "x", "/", "-", "😀"]
+    texts = [*ODD, *("".join(r.choices(bits, k=r.randrange(1, 25))) for _ in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in secrets.scan(docs, RANKS).collect():
+        assert ([x["n_assign"], x["n_access"], x["n_hex"]], x["base_sha256"]) == brute_secrets(texts[x["doc_id"]]), texts[x["doc_id"]][:80]
+
+
+def test_random_spans_recall_and_precision():
+    """Planted random keys are found, and ordinary words, names and known identifiers are left alone."""
+    r = random.Random(22)
+    encoding = secrets.vocabulary(RANKS)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(r.choices(alphabet, k=n)) for n in (16, 20, 32, 40) for _ in range(100)]
+    found = sum(bool(secrets.random_spans(f"see {k} there", [], encoding)) for k in keys)
+    words = "information different government development international understanding responsibility administration environmental characteristics configuration authentication".split()
+    clean = [*words, *(f"{a}_{b}" for a in words for b in words[:5]), *("-".join((a, b, str(i))) for i, (a, b) in enumerate(zip(words, words[1:]))), *(a.capitalize() + b.capitalize() for a, b in zip(words, words[2:]))]
+    false = [c for c in clean if secrets.random_spans(f"see {c} there", [], encoding)]
+    assert found >= 0.99 * len(keys) and len(false) <= 0.01 * len(clean), (found, false)
+
+
 # 3
 
 
@@ -312,12 +362,20 @@ def test_minhash_odd_rows(spark):
     assert sorted((x["doc_id"] for x in kept if x["doc_id"] is not None)) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11] and sum(x["doc_id"] is None for x in kept) == 1
 
 
+def test_minhash_rows_that_share_an_id(spark):
+    rows = [(5, "one two three four five six seven"), (5, "eight nine ten eleven twelve thirteen"), (5, "eight nine ten eleven twelve thirteen"), (3, "one two three four five six seven"), (5, None), (7, "all alone here it is and stays")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "kept": F.lit(2)})
+    kept = sorted((x["doc_id"], x["text"] or "") for x in minhash.deduplicated(docs, words=5).collect())
+    assert kept == sorted([(3, rows[0][1]), (5, rows[1][1]), (5, ""), (7, rows[5][1])])
+
+
 # 7
 
 
 def test_language_id(spark):
     r = random.Random(7)
     words = {"aa": ["zeta", "omega", "theta"], "bb": ["schloss", "zwischen", "nacht"], "cc": ["señor", "mañana", "niño"]}
+    assert langid.features("\U00030123 x")[0].size and not langid.features("1 \ud800"[:2])[0].size
     rows = [(i, " ".join(r.choices(words[c], k=8)), c, "s", 1) for i, c in enumerate(r.choices(list(words), k=240))]
     docs = spark.createDataFrame(rows + [(900, None, "aa", "s", 1), (901, "123 !!", "aa", "s", 1), (None, "zeta", "aa", "s", 1), (902, "omega zeta", None, None, None)], DOCS).withColumns({"h": F.lit(1), "lang_pred": F.lit("x"), "score": F.lit("y")})
     got = {x["doc_id"]: x for x in langid.identify(docs).collect()}
