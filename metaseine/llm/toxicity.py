@@ -32,10 +32,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded, cut, keep_likely, likely, slices
+from ._shared import bounded, cut, give_back, keep_likely, likely, slices
 
 #: Entries of the tables up to which they are broadcast (more are joined), and labels up to which these are.
 HELD, BROADCAST_ROWS = 1 << 22, 1_000_000
@@ -132,7 +133,10 @@ class Counts:
     pairs: np.ndarray
     counts: np.ndarray  # pairs x (ordinary, toxic)
 
-    def __post_init__(self):
+    def prepared(self) -> Counts:
+        """With what ``ratios`` needs of the words; made where it is used first, for it is larger than the counts."""
+        if hasattr(self, "weight"):
+            return self
         t, r = self.totals, self.records
         k = {c: np.append(r[:, RECORD.index(f"k_{c}")], 0) for c in "ot"}
         shared = np.append(np.maximum(r[:, RECORD.index("k")], 1), 1) / max(t.total["k"], 1.0)  # the last entry: all other words
@@ -143,11 +147,13 @@ class Counts:
         types, ones, twos = (np.append(r[:, RECORD.index(x)], 0) for x in ("types", "ones", "twos"))
         d, both = t.pair["n"], self.sums["o"] + self.sums["t"]
         self.weight = np.where(both > 0, (d[1] * ones + d[2] * twos + d[3] * (types - ones - twos)) / np.maximum(both, 1), 1.0)
+        return self
 
     def ratios(self, ids: np.ndarray) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary) for each word of a text in its place."""
         if not len(ids):
             return np.zeros(0)
+        self.prepared()
         w = find(ids, self.words)
         out = self.alone[w]
         p = find(pair_key(before(ids), ids), self.pairs)
@@ -181,12 +187,13 @@ def measures(r: np.ndarray) -> tuple[float, float, float]:
 
 @dataclass
 class Tables:
-    """The tables of a model: (id, RECORD) of words and (v, w, o, t) of pairs, and their totals; arrays where they are few."""
+    """The tables of a model: (id, RECORD) of words and (v, w, o, t) of pairs, and their totals; ``held`` are the Counts, broadcast, where they are
+    few, so that the driver keeps none."""
 
     words: DataFrame
     pairs: DataFrame
     totals: Totals
-    held: Counts | None = None
+    held: Broadcast | None = None
 
     @staticmethod
     def of(words: DataFrame, pairs: DataFrame) -> Tables | None:
@@ -206,15 +213,27 @@ class Tables:
             back[c] = (total[c] - left) / total[c]
         out = Tables(words.where("k > 1 or types > ones"), pairs.where("o > 1 or t > 1"), Totals(word, pair, total, back))
         if out.words.count() + out.pairs.count() <= HELD:
-            w = _small(out.words.select("id", *RECORD), RECORD)
-            p = _small(out.pairs.select("v", "w", "o", "t"), "ot")
-            ids = w.column("id").to_numpy()
-            keys = pair_key(p.column("v").to_numpy(), p.column("w").to_numpy())
-            rows, order = np.argsort(ids), np.argsort(keys)
-            records = np.column_stack([w.column(c).to_numpy() for c in RECORD])[rows]
-            out.held = Counts(out.totals, ids[rows], records, keys[order], np.column_stack([p.column(c).to_numpy() for c in "ot"])[order])
+            out.held = words.sparkSession.sparkContext.broadcast(out.gathered())
+            give_back()
         return out
 
+    def gathered(self) -> Counts:
+        w = _small(self.words.select("id", *RECORD), RECORD)
+        ids = w.column("id").to_numpy()
+        rows = np.argsort(ids)
+        ids = ids[rows]
+        records = np.empty((len(ids), len(RECORD)), w.column(RECORD[0]).to_numpy().dtype)
+        for k, c in enumerate(RECORD):
+            records[:, k] = w.column(c).to_numpy()[rows]
+        del w
+        p = _small(self.pairs.select("v", "w", "o", "t"), "ot")
+        keys = pair_key(p.column("v").to_numpy(), p.column("w").to_numpy())
+        rows = np.argsort(keys)
+        counts = np.empty((len(rows), 2), p.column("o").to_numpy().dtype)
+        for k, c in enumerate("ot"):
+            counts[:, k] = p.column(c).to_numpy()[rows]
+        return Counts(self.totals, ids, records, keys[rows], counts)
+
     def entries(self) -> DataFrame:
         """(kind, key, values) of all words and pairs."""
 
@@ -243,7 +262,7 @@ def measured(documents: DataFrame, tables: Tables, text_col: str) -> DataFrame:
     rows = bounded(documents).drop(*NAMES)
     more = ", ".join(f"{n} double" for n in NAMES)
     if tables.held is not None:
-        held = documents.sparkSession.sparkContext.broadcast(tables.held)
+        held = tables.held
         at = rows.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +398,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
             true, mine = sizes[1] / (sizes[0] + sizes[1]), (got["y"] == 1).mean()
             w[-1] += np.log(true / (1 - true)) - np.log(mine / (1 - mine))
             weights = tuple(float(x) for x in w)
-    del fitted  # one model's counts at a time on the driver
+        if fitted.held is not None:
+            fitted.held.destroy()
     return ToxicityModel(Tables.of(words.select("id", *RECORD), pairs.select("w", "v", "o", "t")), weights)
 
 

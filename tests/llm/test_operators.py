@@ -498,7 +498,7 @@ def test_toxicity_counts_the_rows_of_the_curve(spark):
     rows = [(i, t.replace("grobian", "schuft") if i in part else t, *rest) for i, t, *rest in rows]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
     model = toxicity.fit(spark.createDataFrame(rows, DOCS), labels, F.lit(True))
-    told = {w: model.tables.held.ratios(toxicity.word_ids(w))[0] for w in ("schuft", "grobian", "word1")}
+    told = {w: model.tables.held.value.ratios(toxicity.word_ids(w))[0] for w in ("schuft", "grobian", "word1")}
     assert told["schuft"] > 1 and told["grobian"] > 1 and told["word1"] < 0.5
 
 

@@ -87,10 +87,10 @@ def test_the_models_are_their_formulas(spark):
     texts = {"o": [t for i, t in rows if not truth[i]], "t": [t for i, t in rows if truth[i]]}
     asked = [t for _, t in rows[:60]] + ["unseen words alone", "w1 unseen hinaus mit dir", "lump"]
     for text, want in zip(asked, plain_ratios(texts, asked)):
-        got = model.tables.held.ratios(toxicity.word_ids(text))
+        got = model.tables.held.value.ratios(toxicity.word_ids(text))
         assert np.allclose(got, want, atol=1e-9), text
     # an expression of ordinary words tells by its order
-    first, second = (toxicity.measures(model.tables.held.ratios(toxicity.word_ids(t)))[2] for t in ("hinaus mit dir", "dir mit hinaus"))
+    first, second = (toxicity.measures(model.tables.held.value.ratios(toxicity.word_ids(t)))[2] for t in ("hinaus mit dir", "dir mit hinaus"))
     assert first > second
 
 
@@ -112,7 +112,7 @@ def test_labels_given_twice_and_rows_given_twice(spark):
     schema = "doc_id long, toxic int"
     one = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, schema), learn)
     two = toxicity.fit(spark.createDataFrame(rows + rows[:40], DOCS), spark.createDataFrame(labels + [(i, 0) for i, _ in labels[:50]], schema), learn)
-    assert one.weights == two.weights and (one.tables.held.counts == two.tables.held.counts).all()
+    assert one.weights == two.weights and (one.tables.held.value.counts == two.tables.held.value.counts).all()
 
 
 def test_a_part_without_a_class_has_the_fixed_curve(spark):
