@@ -91,10 +91,8 @@ def _run(a: argparse.Namespace, spec: SearchSpec, root: str, out) -> int:
     spark = SparkSession.builder.appName("metaseine").getOrCreate()
     log = ResultsLog(spark, a.results, {k: v for k, v in vars(a).items() if k not in ("results", "no_resume", "verbose", "errors", "json", "csv", "null")}, a.no_resume) if a.results else None
     before = log.hits().count() if log else 0
-    tables = scan.scan(spark, root, spec, follow_links=a.follow_links, show=a.show, index=a.index, skip_dirs=log.done() if log else None, since=a.since, until=a.until, recursive=a.recursive, hidden=a.hidden, exclude=a.exclude_dir, ext=a.ext)
+    tables = scan.scan(spark, root, spec, follow_links=a.follow_links, show=a.show, index=a.index, log=log, since=a.since, until=a.until, recursive=a.recursive, hidden=a.hidden, exclude=a.exclude_dir, ext=a.ext)
     counters = scan.report(tables).first().asDict()
-    if log:
-        log.record(tables)
     results = tables["results"]
     if a.link_dir:
         from .sources.state import written

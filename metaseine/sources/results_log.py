@@ -1,7 +1,8 @@
 """The log of a search that can be resumed: its parameters, the folders that are complete, hits and errors.
 
 A folder is complete when all its files were searched without an error; folders with one are searched again. Hits are keyed by
-path, so a folder searched twice does not count twice. Resuming with other parameters is an error.
+path, so a folder searched twice does not count twice. Resuming with other parameters is an error. A search records wave by wave, so one that
+is stopped keeps all but its last wave; of links to one file that lie in several waves, each is a hit of the log.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 class ParameterMismatch(ValueError):
     """A log that was made with other parameters."""
 

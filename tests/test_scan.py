@@ -112,6 +112,50 @@ def test_resume(spark, folder, tmp_path):
         ResultsLog(spark, str(tmp_path / "log"), {"terms": ["other"]})
 
 
+def test_a_stopped_search_keeps_its_waves(spark, tmp_path, monkeypatch):
+    root = tmp_path / "media"
+    for d in range(12):
+        (root / str(d)).mkdir(parents=True)
+        for k in range(3):
+            (root / str(d) / f"{k}.png").write_bytes(build.png(build.text("note", f"sunset {d}")))
+    monkeypatch.setattr(s, "FILES", 1)
+    monkeypatch.setattr(s, "FILLS", 3)
+    log = ResultsLog(spark, str(tmp_path / "log"), {})
+    record, calls = log.record, []
+
+    def stopping(tables):
+        if calls:
+            raise KeyboardInterrupt
+        record(tables)
+        calls.append(1)
+
+    monkeypatch.setattr(log, "record", stopping)
+    with pytest.raises(KeyboardInterrupt):
+        s.scan(spark, str(root), SearchSpec(("sunset",)), log=log)
+    kept = log.done().count()
+    assert 0 < kept < 12 and log.hits().count() == 3 * kept
+    again = ResultsLog(spark, str(tmp_path / "log"), {})
+    tables = s.scan(spark, str(root), SearchSpec(("sunset",)), log=again)
+    assert s.report(tables).first()["matched"] == 36 - 3 * kept and again.hits().count() == 36 and again.done().count() == 12
+    assert s.report(s.scan(spark, str(root), SearchSpec(("sunset",)), log=again)).first()["scanned"] == 0
+
+
+def test_a_flat_folder_is_many_tasks(spark, folder, monkeypatch):
+    rows = walk.files(spark, folder, recursive=False)
+    assert s.spread(rows).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(s, "FEWEST", 1)
+    assert s.spread(rows).rdd.getNumPartitions() == 3
+
+
+def test_graphs_are_not_passed_over(spark, tmp_path):
+    (tmp_path / "g.png").write_bytes(build.png(build.text("prompt", json.dumps({"1": {"class_type": "T", "inputs": {"text": 'a café "called" x\ny'}}}))))
+    for terms, regex in (("cafe\u0301",), False), (('"CALLED" x',), False), ((r"\p{L}{4} ..called",), True), ((r"(?<w>l)\k<w>ed",), True):
+        for scope in ("image", "node"):
+            spec = SearchSpec(terms, regex=regex, scope=scope, connected=None, inputs=("text",))
+            found = [h["label"] for r in s.scan(spark, str(tmp_path), spec)["results"].collect() for h in r["hits"]]
+            assert found == ([] if "CALLED" in terms[0] else ["prompt#1"]), (terms, found)
+
+
 def test_usage():
     for bad in ({"terms": ()}, {"terms": ("a",), "broken": True}, {"terms": ("(",), "regex": True}, {"terms": ("a",), "saved_kinds": (), "inputs": ("x",)}, {"terms": ("a",), "scope": "page"}):
         with pytest.raises(SearchError):
