@@ -2,7 +2,7 @@
 
 It holds extractions, not answers, so any search can use it. A row serves if path, size and time are equal and it was extracted as
 deeply as asked. Errors are not kept. Rows lie in partitions by a hash of the path; saving rewrites only the partitions touched.
-An index of another version, or one that cannot be read, counts as empty.
+Rows of another version, and a folder that is no index, count as empty; a damaged file in an index is an error.
 """
 
 from __future__ import annotations

@@ -108,16 +108,34 @@ def png(f: BinaryIO, deep: bool) -> Iterator[tuple[str, str]]:
 # TIFF and EXIF
 
 
-def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, object], int]:
-    (n,) = struct.unpack_from(order + "H", data, at)
+class Window:
+    """A file to be sliced like bytes: only the slices are read, and those of over BLOCK_LIMIT bytes are empty."""
+
+    def __init__(self, f: BinaryIO):
+        self.f, self.size = f, f.seek(0, 2)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: slice) -> bytes:
+        start, stop, _ = at.indices(self.size)
+        if not 0 < stop - start <= BLOCK_LIMIT:
+            return b""
+        self.f.seek(start)
+        return self.f.read(stop - start)
+
+
+def _directory(data: bytes | Window, at: int, order: str) -> tuple[dict[int, object], int]:
+    (n,) = struct.unpack(order + "H", data[at : at + 2])
+    table = data[at + 2 : at + 2 + 12 * n]
     found = {}
     for k in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+        tag, kind, count = struct.unpack_from(order + "HHI", table, 12 * k)
         form = TIFF_TYPES.get(kind)
         size = count * (8 if kind in (5, 10) else struct.calcsize("=" + form) if form else 0)
         if not size or size > len(data):
             continue
-        place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
+        place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", table, 12 * k + 8)[0]
         raw = data[place : place + size]
         if len(raw) < size:
             continue
@@ -133,17 +151,17 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, object], int
             values = struct.unpack(order + form * count, raw)
             found[tag] = values if count > 1 else values[0]
     after = at + 2 + 12 * n
-    return found, struct.unpack_from(order + "I", data, after)[0] if after + 4 <= len(data) else 0
+    return found, struct.unpack(order + "I", data[after : after + 4])[0] if after + 4 <= len(data) else 0
 
 
-def tiff_fields(data: bytes) -> list[tuple[str, str]]:
+def tiff_fields(data: bytes | Window) -> list[tuple[str, str]]:
     """The fields of a TIFF structure: its first directory and those for Exif, GPS and interoperability."""
-    data = data.removeprefix(b"Exif\0\0")
+    data = data.removeprefix(b"Exif\0\0") if isinstance(data, bytes) else data
     if data[:4] not in (b"II*\0", b"MM\0*"):
         return []
     order = "<" if data[:1] == b"I" else ">"
     try:
-        first, _ = _directory(data, struct.unpack_from(order + "I", data, 4)[0], order)
+        first, _ = _directory(data, struct.unpack(order + "I", data[4:8])[0], order)
     except struct.error:
         return []
     out = [(TAGS.get(t, f"Exif:{hex(t)}"), as_text(v)) for t, v in first.items()]
@@ -159,13 +177,12 @@ def tiff_fields(data: bytes) -> list[tuple[str, str]]:
 
 
 def tiff(f: BinaryIO, deep: bool) -> Iterator[tuple[str, str]]:
-    f.seek(0)
-    data = f.read(BLOCK_LIMIT)
+    data = Window(f)
     got = tiff_fields(data)
     if not got:
         raise Unreadable("no image directory")
     yield from got
-    packet = _packet(data)
+    packet = _packet(data[:BLOCK_LIMIT])
     if packet:
         yield from xmp_parsed(packet)
 
@@ -286,13 +303,13 @@ def gif(f: BinaryIO, deep: bool) -> Iterator[tuple[str, str]]:
 
 def bmff(f: BinaryIO, deep: bool) -> Iterator[tuple[str, str]]:
     """HEIF and AVIF: the Exif and XMP items that the meta box places in the file."""
-    f.seek(0)
-    data = f.read(BLOCK_LIMIT)
-    meta = next(((a, b) for kind, a, b in boxes(data, 0, len(data)) if kind == b"meta"), None)
-    if meta is None:
-        raise Unreadable("no meta box")
+    whole = Window(f)
+    place = next(((a, b) for kind, a, b in boxes(whole, 0, len(whole)) if kind == b"meta"), None)
+    if place is None or place[1] - place[0] > BLOCK_LIMIT:
+        raise Unreadable("no meta box" if place is None else "the meta box is over 64 MB")
+    data = whole[place[0] : place[1]]
     items, places = {}, {}
-    for kind, a, b in boxes(data, meta[0] + 4, meta[1]):
+    for kind, a, b in boxes(data, 4, len(data)):
         if kind == b"iinf":
             skip = 6 if data[a] == 0 else 8
             for k, x, _ in boxes(data, a + skip, b):
@@ -302,7 +319,7 @@ def bmff(f: BinaryIO, deep: bool) -> Iterator[tuple[str, str]]:
         elif kind == b"iloc":
             places = _locations(data, a)
     for number, kind in items.items():
-        blob = b"".join(data[s : s + n] for s, n in places.get(number, ()))
+        blob = b"".join(whole[s : s + n] for s, n in places.get(number, ()))
         if kind == b"Exif" and len(blob) > 4:
             yield from tiff_fields(blob[4 + int.from_bytes(blob[:4], "big") :])
         elif kind == b"mime" and b"<x:xmpmeta" in blob:
@@ -337,7 +354,7 @@ def _locations(data: bytes, a: int) -> dict[int, list[tuple[int, int]]]:
 # MP4, QuickTime
 
 
-def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+def boxes(data: bytes | Window, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """(kind, body, end) of the boxes of a stretch, as long as their sizes make sense."""
     while start + 8 <= end:
         size, head = int.from_bytes(data[start : start + 4], "big"), 8

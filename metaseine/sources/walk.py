@@ -2,12 +2,13 @@
 
 Unlike the binary file source it sees empty files, dead links and names that start with an underscore. Options: path, recursive,
 ext (comma-separated, replaces the default suffixes), hidden, exclude (globs of folder names, comma-separated), since, until
-(epoch seconds). Suffix, hidden and folder tests come before a file is looked at. Filters on ``ext`` are pushed down.
+(epoch seconds). Lists may also be given as JSON. Suffix, hidden and folder tests come before a file is looked at. Filters on ``ext`` are pushed down.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,14 +45,21 @@ class MediaFiles(DataSource):
         return MediaReader(self.options)
 
 
+def listed(option: str) -> list[str]:
+    """The members of an option, which may have commas where it is JSON."""
+    if option.startswith('["'):
+        return json.loads(option)
+    return [x.strip() for x in option.split(",") if x.strip()]
+
+
 class MediaReader(DataSourceReader):
     def __init__(self, options):
         flag = lambda k, d: str(options.get(k, d)).lower() == "true"
         self.root = os.path.abspath(options["path"])
         self.recursive, self.hidden = flag("recursive", "true"), flag("hidden", "false")
-        given = [e.strip().lstrip(".").lower() for e in options.get("ext", "").split(",") if e.strip()]
+        given = [e.lstrip(".").lower() for e in listed(options.get("ext", ""))]
         self.ext = set(given or (*IMAGE_SUFFIXES, *VIDEO_SUFFIXES))
-        self.exclude = [g.strip().lower() for g in options.get("exclude", "").split(",") if g.strip()]
+        self.exclude = [g.lower() for g in listed(options.get("exclude", ""))]
         self.since, self.until = (float(options[k]) if k in options else None for k in ("since", "until"))
 
     def pushFilters(self, filters: list[Filter]):
@@ -120,5 +128,5 @@ def files(spark: SparkSession, path: str, **options) -> DataFrame:
     reader = spark.read.format("media_files").option("path", path)
     for k, v in options.items():
         if v not in (None, "", (), []):
-            reader = reader.option(k, ",".join(v) if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else str(v))
+            reader = reader.option(k, json.dumps(v) if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else str(v))
     return reader.load()

@@ -71,3 +71,21 @@ def element(ident: int, body: bytes) -> bytes:
 def mkv(values: dict[str, str]) -> bytes:
     tags = b"".join(element(0x67C8, element(0x45A3, k.encode()) + element(0x4487, v.encode())) for k, v in values.items())
     return element(0x1A45DFA3, b"\0") + element(0x18538067, element(0x1254C367, element(0x7373, tags)))
+
+
+def heif(items: dict[bytes, bytes], gap: int = 0) -> bytes:
+    """A HEIF file with items of the types given, which lie ``gap`` bytes behind its boxes."""
+    infe = b"".join(box(b"infe", b"\2\0\0\0" + struct.pack(">HH", k, 0) + kind + b"\0") for k, kind in enumerate(items, 1))
+    iinf = box(b"iinf", b"\0\0\0\0" + struct.pack(">H", len(items)) + infe)
+
+    def meta(start: int) -> bytes:
+        rows, at = b"", start
+        for k, body in enumerate(items.values(), 1):
+            rows += struct.pack(">HHHII", k, 0, 1, at, len(body))
+            at += len(body)
+        return box(b"meta", b"\0\0\0\0" + iinf + box(b"iloc", b"\0\0\0\0\x44\0" + struct.pack(">H", len(items)) + rows))
+
+    head = box(b"ftyp", b"heic\0\0\0\0")
+    body = b"".join(items.values())
+    start = len(head) + len(meta(0)) + 8 + gap
+    return head + meta(start) + box(b"mdat", b"\0" * gap + body)

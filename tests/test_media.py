@@ -26,6 +26,29 @@ def test_exif_in_jpeg_webp_and_tiff():
         assert got["Make"] == 'prompt:{"a": 1}' and got["Model"] == "model" and got["Exif:UserComment"] == "Barcelona"
 
 
+def test_heif_and_gif():
+    exif = b"\0\0\0\6Exif\0\0" + build.tiff({0x010F: b"maker"}, {0x9286: b"ASCII\0\0\0a remark"})
+    packet = b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><a>hello</a></x:xmpmeta>'
+    for suffix in ("heic", "avif"):
+        got = read(build.heif({b"Exif": exif, b"mime": packet}), suffix)
+        assert got["Make"] == "maker" and got["Exif:UserComment"] == "a remark" and "hello" in got["xmp"]
+    gif = b"GIF89a\1\0\1\0\x80\0\0" + b"\0" * 6 + b"!\xfe\5a gif\3 re\4mark\0" + b";"
+    assert read(gif, "gif")["comment"] == "a gif remark"
+
+
+def test_places_behind_large_pixels(monkeypatch):
+    monkeypatch.setattr(media, "BLOCK_LIMIT", 4096)
+    block = build.tiff({0x010F: b"maker", 0x0110: b"m" * 5000})
+    moved = bytearray(b"II*\0" + (20_008).to_bytes(4, "little") + b"\0" * 20_000 + block[8:])
+    for k in range(2):  # the places of the values move too
+        at = 20_010 + 12 * k + 8
+        moved[at : at + 4] = (int.from_bytes(moved[at : at + 4], "little") + 20_000).to_bytes(4, "little")
+    got = read(bytes(moved), "tif")
+    assert got["Make"] == "maker" and "Model" not in got
+    exif = b"\0\0\0\0" + build.tiff({0x010F: b"maker"})
+    assert read(build.heif({b"Exif": exif}, gap=20_000), "heic")["Make"] == "maker"
+
+
 def test_jpeg_segments_and_xmp():
     packet = b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><a>hello</a></x:xmpmeta>'
     got = read(build.jpeg((0xE0, b"JFIF"), (0xE1, b"http://ns.adobe.com/xap/1.0/\0" + packet), (0xFE, b"a comment"), (0xED, b"x\0\1y")), "jpg")

@@ -44,6 +44,7 @@ def test_walk(spark, folder):
     assert "h.png" in names(walk.files(spark, folder, hidden=True))
     assert names(walk.files(spark, folder, recursive=False)) == ["_b.png", "a.png", "alias.png"]
     assert names(walk.files(spark, folder, exclude=["SU*"])) == ["_b.png", "a.png", "alias.png"]
+    assert names(walk.files(spark, folder, exclude=["x,sub", "y"], ext=["mp4"])) == ["c.mp4"]
     assert names(walk.files(spark, folder, ext=[".MP4"])) == ["c.mp4"]
     assert names(walk.files(spark, folder).where("ext = 'jpg'")) == ["page.jpg"]
 
