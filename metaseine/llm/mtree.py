@@ -4,10 +4,12 @@ Rows are dealt to the nearest of a few pivots (from a bounded sample by a hash o
 rows are a page of the top level. A page of more than ``UNIT`` rows is split by a hash. Each unit is bulk-loaded as an M-tree:
 nodes have a centre, a covering radius and the distance to the parent's centre, and leaf entries the distance to theirs.
 
-Search is best first: a query opens the node of the greatest bound among all that it has reached, and ends when none reaches the k-th best score found so
-far. With d the Euclidean distance, <q, x> <= <q, c> + |q| d(c, x), so a node is bounded by its centre, radius and stored distances alone, and
-children and entries whose stored distance shows that they cannot reach the k-th best score are passed over without computing
-anything. Queries that open a node in the same round share one matrix product. Bounds are compared with a margin for rounding, scores are exact
+Search is best first: a query opens the nodes of the greatest bounds among all that it has reached, in rounds of 1, 2, 4, ... nodes, and ends when none
+reaches the k-th best score found so far. With d the Euclidean distance, <q, x> <= <q, c> + |q| d(c, x), so a node is bounded by its centre, radius and
+stored distances alone, and children and entries whose stored distance shows that they cannot reach the k-th best score are passed over without computing
+anything. Queries that open a node in the same round share one matrix product, and only scores that reach a query's k-th best are looked at one by one.
+Where no bound excludes anything, as with random vectors of many components, this is one product of all queries with all rows, so time grows with
+rows times queries. Bounds are compared with a margin for rounding, scores are exact
 integers. A query first visits a unit of its nearest pivot, and then, with the k-th score found there, only units of pages whose bound
 reaches it. Units lie in groups; a group's trees are built once and its queries stream past them, a row a query.
 
@@ -38,12 +40,14 @@ LEAF, FANOUT = 256, 16
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of ``a`` with those of ``b``, integers as doubles; within 64 bits."""
+    """Exact inner products of the rows of ``a`` with those of ``b``, integers as doubles: as floats where these hold them, else within 64 bits."""
     with np.errstate(over="ignore", invalid="ignore"):
+        most = np.abs(a).max(initial=1) * np.abs(b).max(initial=1) * max(1, a.shape[1])
+        if most < 2**53:  # the type holds every component and every partial sum
+            narrow = np.float32 if most < 2**24 else np.float64
+            return a.astype(narrow, copy=False) @ b.astype(narrow, copy=False).T
         about = a @ b.T
         high = np.abs(a).max(axis=1, initial=0)[:, None] * np.abs(b).max(axis=1, initial=0) * max(1, a.shape[1]) >= 2**53
-    if not high.any():  # doubles hold every partial sum
-        return about.astype(np.int64)
     out = np.where(high, 0, about).astype(np.int64)
     rows, columns = np.flatnonzero(high.any(axis=1)), np.flatnonzero(high.any(axis=0))
     whole = np.vectorize(int, otypes=[object])
@@ -62,7 +66,7 @@ def norms(x: np.ndarray) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("centre", "norm", "radius", "parent", "children", "rows", "ids", "numbers", "away")
+    __slots__ = ("centre", "norm", "radius", "parent", "children", "centres", "rows", "ids", "numbers", "away")
 
     def __init__(self, centre: np.ndarray, rows: np.ndarray, ids: np.ndarray, numbers: np.ndarray, parent: float):
         self.centre, self.parent, self.children = centre, parent, []
@@ -70,18 +74,19 @@ class Node:
         away = apart(rows, centre)
         self.radius = float(away.max(initial=0))
         if len(rows) <= LEAF:
-            order = np.lexsort((numbers, ids))
-            self.rows, self.ids, self.numbers, self.away = rows[order], ids[order], numbers[order], away[order]
+            self.rows, self.ids, self.numbers, self.away = rows, ids, numbers, away
             return
-        picks = rows[np.linspace(0, len(rows) - 1, FANOUT).astype(int)]
+        # as few parts as make leaves at least half full on average
+        picks = rows[np.linspace(0, len(rows) - 1, min(FANOUT, -(-2 * len(rows) // LEAF))).astype(int)]
         nearest = np.stack([((rows - p) ** 2).sum(axis=1) for p in picks], axis=1).argmin(axis=1)
-        parts = [np.flatnonzero(nearest == k) for k in range(FANOUT)]
+        parts = [np.flatnonzero(nearest == k) for k in range(len(picks))]
         if max(map(len, parts)) > 0.9 * len(rows):  # nearly all in one place: halves make progress
             parts = np.array_split(np.argsort(away, kind="stable"), 2)
             picks = [rows[p[len(p) // 2]] for p in parts]
         for p, c in zip(parts, picks):
             if len(p):
                 self.children.append(Node(c, rows[p], ids[p], numbers[p], float(np.sqrt(((c - centre) ** 2).sum()))))
+        self.centres = np.stack([c.centre for c in self.children])
 
     def all(self) -> list[Node]:
         return [self, *(x for c in self.children for x in c.all())]
@@ -101,57 +106,80 @@ class Best:
     def __init__(self, m: int, k: int, floor: np.ndarray):
         self.scores, self.ids, self.floor = np.full((m, k), LEAST), np.zeros((m, k), np.int64), floor.copy()
 
-    def take(self, q: np.ndarray, got: np.ndarray, names: np.ndarray) -> None:
-        """Put entries with their scores to queries ``q``; entries lie in the order of their ids."""
-        k, width = self.scores.shape[1], got.shape[1]
-        names = np.broadcast_to(names, got.shape)
-        if width > k and np.abs(got, where=got > LEAST, out=np.zeros_like(got)).max(initial=0) < 2**50:
-            # so the place breaks ties
-            key = np.where(got > LEAST, got * width + (width - 1 - np.arange(width)), LEAST)
-            best = np.argpartition(key, width - k, axis=1)[:, width - k :]
-            got, names = np.take_along_axis(got, best, 1), np.take_along_axis(names, best, 1)
-        both, names = np.concatenate((self.scores[q], got), axis=1), np.concatenate((self.ids[q], names), axis=1)
-        best = np.lexsort((names, ~both), axis=1)[:, :k]
-        self.scores[q], self.ids[q] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
-        last = self.scores[q][:, -1]
-        self.floor[q] = np.where(last > LEAST, np.maximum(self.floor[q], last.astype(np.float64)), self.floor[q])
+    def take(self, q: np.ndarray, got: np.ndarray, ids: np.ndarray) -> None:
+        """Put single entries, each a score and an id, to the queries ``q``."""
+        k = self.scores.shape[1]
+        last, name = self.scores[q, -1], self.ids[q, -1]
+        new = (got > last) | ((got == last) & (ids < name))
+        q, got, ids = q[new], got[new], ids[new]
+        if not len(q):
+            return
+        to = np.unique(q)
+        who = np.concatenate((np.repeat(to, k), q))
+        both, names = np.concatenate((self.scores[to].ravel(), got)), np.concatenate((self.ids[to].ravel(), ids))
+        order = np.lexsort((names, ~both, who))
+        first = np.searchsorted(who[order], to)
+        best = order[first[:, None] + np.arange(k)]  # a query has its k places at least
+        self.scores[to], self.ids[to] = both[best], names[best]
+        last = self.scores[to, -1]
+        self.floor[to] = np.where(last > LEAST, np.maximum(self.floor[to], last.astype(np.float64)), self.floor[to])
 
 
 def search(root: Node, queries: np.ndarray, own: np.ndarray, best: Best, who: np.ndarray) -> None:
-    """Improve ``best`` at the places ``who`` by a tree's entries but each query's own row (by its number)."""
+    """Improve ``best`` at the places ``who`` by a tree's entries but each query's own row (by its number).
+
+    In a round a query opens the nodes of the greatest bounds among all that it has reached, one at first and then twice as many
+    each time, so that queries meet at the nodes and share matrix products; a node that better scores rule out meanwhile stays shut.
+    """
     nodes = root.all()
     place = {id(n): i for i, n in enumerate(nodes)}
-    norm = norms(queries)
+    norm, k = norms(queries), best.scores.shape[1]
     front = np.full((len(queries), len(nodes)), -np.inf)  # bounds of the nodes reached and not yet opened
+    width = 1
     with np.errstate(over="ignore"):
         at = np.zeros((len(queries), len(nodes)))  # products with the centres
         at[:, 0] = queries @ root.centre
         front[:, 0] = above(at[:, 0], norm * root.radius, norm * root.norm)
         while True:
-            top = front.argmax(axis=1)
-            live = np.flatnonzero(front[np.arange(len(queries)), top] >= best.floor[who])
-            live = live[front[live, top[live]] > -np.inf]
-            if not len(live):
+            chosen = (front >= best.floor[who][:, None]) & (front > -np.inf)
+            if not chosen.any():
                 return
-            for n in np.unique(top[live]):
-                q = live[top[live] == n]
-                front[q, n] = -np.inf
+            if width < len(nodes):
+                chosen &= front >= np.partition(front, len(nodes) - width, axis=1)[:, -width, None]
+            top = np.where(chosen, front, -np.inf).max(axis=0)
+            for n in np.argsort(-top)[: (top > -np.inf).sum()]:
+                q = np.flatnonzero(chosen[:, n])
+                q, bound = q[front[q, n] >= best.floor[who[q]]], front[q, n]
+                front[chosen[:, n], n] = -np.inf
+                if not len(q):
+                    continue
                 node, floor = nodes[n], best.floor[who[q]]
                 if node.children:
-                    for child in node.children:
-                        # by the stored distance alone
-                        near = above(at[q, n], norm[q] * (child.parent + child.radius), norm[q] * node.norm) >= floor
-                        some, c = q[near], place[id(child)]
-                        if len(some):
-                            at[some, c] = queries[some] @ child.centre
-                            front[some, c] = above(at[some, c], norm[some] * child.radius, norm[some] * child.norm)
+                    parent, radius, size = (np.array([getattr(c, x) for c in node.children]) for x in ("parent", "radius", "norm"))
+                    # by the stored distance alone
+                    near = above(at[q, n][:, None], norm[q][:, None] * (parent + radius), (norm[q] * node.norm)[:, None]) >= floor[:, None]
+                    some, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                    if len(some):
+                        q, near, to = q[some], near[np.ix_(some, c)], np.array([place[id(node.children[i])] for i in c])
+                        product = queries[q] @ node.centres[c].T
+                        at[np.ix_(q, to)] = product
+                        front[np.ix_(q, to)] = np.where(near, above(product, norm[q][:, None] * radius[c], norm[q][:, None] * size[c]), -np.inf)
                     continue
-                limit = above(at[q, n][:, None], norm[q][:, None] * node.away, (norm[q] * node.norm)[:, None])
-                near = np.flatnonzero((limit >= floor[:, None]).any(axis=0))  # entries that no query needs are not computed
+                # entries that no query needs are not computed: those less far from the centre than the least that any query asks
+                lack, reach = floor - above(at[q, n], 0.0, norm[q] * node.norm), norm[q] * (1 + 1e-9)
+                least = np.divide(lack, reach, out=np.where(lack > 0, np.inf, -np.inf), where=reach > 0).min()
+                near = np.flatnonzero(node.away >= least)
                 if len(near):
                     got = dots(queries[q], node.rows[near])
-                    got[(node.numbers[near] == own[q][:, None]) | (got < floor[:, None])] = LEAST
-                    best.take(who[q], got, node.ids[near])
+                    if got.shape[1] > 4 * k:  # no more than these and their ties, for each query and its own row
+                        weak = np.flatnonzero(best.scores[who[q], -1] == LEAST)
+                        floor[weak] = np.maximum(floor[weak], np.partition(got[weak], -k - 1, axis=1)[:, -k - 1].astype(np.float64))
+                    # a floor that a narrow type rounds is beyond all scores of that type
+                    i, j = np.nonzero(got >= (floor.astype(got.dtype) if got.dtype.kind == "f" else floor)[:, None])
+                    other = node.numbers[near[j]] != own[q[i]]
+                    i, j = i[other], j[other]
+                    best.take(who[q[i]], got[i, j].astype(np.int64), node.ids[near[j]])
+            width *= 2
 
 
 class Pages:

@@ -237,6 +237,35 @@ def test_mtree_skips_what_bounds_exclude(monkeypatch):
     assert (best.scores == -np.sort(-full, axis=1)[:, :5]).all() and sum(done) < 0.2 * full.size
 
 
+def test_mtree_products_are_exact():
+    r = np.random.default_rng(7)
+    for most in (100, 2**9, 2**11, 2**13, 2**24, 2**26, 2**31, 2.0**400):
+        a, b = (np.rint(r.uniform(-1, 1, (n, 16)) * most) for n in (6, 9))
+        a[0], b[0] = most, most - 1
+        for q in (a, 0 * a):
+            want = [[max(-mtree.MOST, min(mtree.MOST, sum(int(x) * int(y) for x, y in zip(v, w)))) for w in b] for v in q]
+            assert [[int(x) for x in row] for row in mtree.dots(q, b)] == want
+
+
+def test_mtree_queries_share_products(monkeypatch):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((3000, 64))
+    x[1000:1400] = x[7]  # copies, in no order of their ids
+    x = np.rint(256 * x / np.sqrt((x * x).sum(axis=1))[:, None])  # no bound excludes random directions
+    ids, numbers = r.permutation(3000), np.arange(3000)
+    tree = mtree.Node(x[0], x, ids, numbers, 0.0)
+    calls, exact = [], mtree.dots
+    monkeypatch.setattr(mtree, "dots", lambda a, b: calls.append(len(a)) or exact(a, b))
+    asked = np.arange(900, 1200)  # copies too
+    best = mtree.Best(300, 5, np.full(300, -np.inf))
+    mtree.search(tree, x[asked], asked, best, np.arange(300))
+    full = exact(x[asked], x)
+    full[np.arange(300), asked] = -(2**62)
+    at = np.lexsort((np.broadcast_to(ids, full.shape), -full), axis=1)[:, :5]
+    assert (best.ids == ids[at]).all() and (best.scores == np.take_along_axis(full, at, 1)).all()
+    assert len(calls) <= 4 * sum(not n.children for n in tree.all())
+
+
 # 4
 
 
