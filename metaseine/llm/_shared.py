@@ -136,20 +136,26 @@ def likely(ids: DataFrame, column: str, bits: int = 24):
     return out
 
 
+def placed(df: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """``df`` with the two places of each id in a filter as its last columns, for ``may_hold``."""
+    mask = (1 << bits) - 1
+    h = F.xxhash64(F.col(column).cast("long"))
+    return df.withColumns({"__p": h.bitwiseAND(mask), "__q": F.shiftrightunsigned(h, 32).bitwiseAND(mask)})
+
+
+def may_hold(words, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of a batch of ``placed`` whose id may be in the filter ``words``, without the places."""
+    p, q = (batch.column(batch.num_columns - i).to_numpy() for i in (2, 1))
+    good = (words[p >> 6] >> (p & 63)) & (words[q >> 6] >> (q & 63)) & 1
+    return batch.filter(pa.array(good.astype(bool))).select(list(range(batch.num_columns - 2)))
+
+
 def keep_likely(df: DataFrame, column: str, bloom, bits: int = 24) -> DataFrame:
     """The rows of ``df`` whose id may be in the filter, tested before anything is shuffled."""
-    import numpy as np
-
-    mask = (1 << bits) - 1
     held = df.sparkSession.sparkContext.broadcast(bloom)
-    h = F.xxhash64(F.col(column).cast("long"))
-    both = df.withColumns({"__p": h.bitwiseAND(mask), "__q": F.shiftrightunsigned(h, 32).bitwiseAND(mask)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held.value
         for b in batches:
-            p, q = (b.column(b.num_columns - i).to_numpy() for i in (2, 1))
-            good = (words[p >> 6] >> (p & 63)) & (words[q >> 6] >> (q & 63)) & 1
-            yield b.filter(pa.array(good.astype(bool))).select(list(range(b.num_columns - 2)))
+            yield may_hold(held.value, b)
 
-    return both.mapInArrow(run, df.schema)
+    return placed(df, column, bits).mapInArrow(run, df.schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded, components, cut, keep_likely, likely, slices
+from ._shared import bounded, components, cut, likely, may_hold, placed, slices
 
 WORDS, SIMILARITY = 2, 0.8
 COORDINATES, THRESHOLD, SEED = 48, 25, 2011
@@ -205,12 +205,15 @@ def _forest(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> li
 
 
 def confirmed_links(members: DataFrame, documents: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(a, b): for each list a spanning forest of the pairs whose full sets are similar enough."""
-    wanted = members.select("rep").distinct()
-    texts = keep_likely(documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null"), "rep", likely(wanted, "rep"))
+    """(a, b): for each list a spanning forest of the pairs whose full sets are similar enough.
+
+    Texts are picked and hashed in one pass: a second one in the same tasks would need workers of its own, which live on through later stages.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(likely(members.select("rep").distinct(), "rep"))
+    texts = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(may_hold(held.value, b) for b in batches):
             sets = [shingle_hashes(t, words).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "set"])
 
@@ -229,9 +232,9 @@ def confirmed_links(members: DataFrame, documents: DataFrame, id_col: str, text_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    sets = texts.join(wanted, "rep", "left_semi").mapInArrow(hashed, "rep long, set array<long>")
-    placed = members.join(sets, "rep").select("list", "low", "high", "side", "rep", "set").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high", "rep")
-    return placed.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    sets = placed(bounded(texts), "rep").mapInArrow(hashed, "rep long, set array<long>")
+    listed = members.join(sets, "rep").select("list", "low", "high", "side", "rep", "set").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high", "rep")
+    return listed.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, keep_key: bool = False) -> DataFrame:

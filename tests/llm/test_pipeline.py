@@ -35,6 +35,34 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in got} <= {r[0] for r in rows()} - {200, 201, 202}
 
 
+def python_passes(plan):
+    """(most Python passes that one task of the plan runs at once, those of its last stage)."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return python_passes(plan.initialPlan())
+    below = [python_passes(plan.children().apply(i)) for i in range(plan.children().size())]
+    own = sum(n for _, n in below) + (plan.nodeName() == "MapInArrow")
+    return max([own, *(n for n, _ in below)]), 0 if plan.nodeName().endswith("Exchange") else own
+
+
+def test_tasks_run_one_python_worker_at_a_time(spark, tmp_path, monkeypatch):
+    from metaseine.llm import _shared, minhash, mixing
+
+    near = [(300 + i, f"{rows()[i][1]} again", "en", "web", 1) for i in range(40)]
+    spark.createDataFrame(rows() + near, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    plans, cut = [], _shared.cut
+
+    def noted(df, *args, **more):
+        plans.append(df._jdf.queryExecution().executedPlan())
+        return cut(df, *args, **more)
+
+    for module in (_shared, minhash, mixing, corpus_pipeline):
+        monkeypatch.setattr(module, "cut", noted)
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in final.collect()}.isdisjoint(r[0] for r in near)
+    most = [python_passes(p)[0] for p in [*plans, final._jdf.queryExecution().executedPlan()]]
+    assert len(most) > 8 and max(most) == 1
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
