@@ -34,8 +34,8 @@ SETTLED = "\\u0000-\\u0557\\u0600-\\u06ff\\u0900-\\u0977\\u2000-\\u2064\\u3041-\
 LATIN = "\u0000-\u024f\u2010-\u2027"
 #: Pre-tokens that a task remembers, and symbols that one occurrence index covers.
 MEMO, SYMBOLS = 200_000, 500_000
-#: Documents that a batch takes at most, and MB of their texts.
-ROWS, MB = 2048, 8
+#: Documents that a batch takes at most, and MB of their texts: a worker's memory follows them, and so do the engine's buffers.
+ROWS, MB = 512, 8
 
 
 def byte_symbols() -> dict[int, str]:
@@ -55,7 +55,7 @@ class ByteBpe:
         symbol = byte_symbols()
         back = {c: b for b, c in symbol.items()}
         self.bytes_of: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)}
-        self.first = np.array([vocab[symbol[b]] for b in range(256)], np.int64)
+        self.first = np.array([vocab[symbol[b]] for b in range(256)], np.int32)
         pairs = [p if isinstance(p, list) else p.split(" ") for p in spec["model"]["merges"]]
         self.left = np.array([vocab[a] for a, _ in pairs], np.int64)
         self.right = np.array([vocab[b] for _, b in pairs], np.int64)
@@ -106,9 +106,9 @@ class ByteBpe:
         body = np.frombuffer(b"\0".join([*raw, b""]), np.uint8)
         sym = self.first[body]
         sym[np.cumsum(size + 1) - 1] = -1
-        word = np.repeat(np.arange(len(raw)), size + 1)
-        n = len(sym)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), size + 1)
+        n = len(sym)  # about SYMBOLS, or one pre-token's bytes: positions fit 32 bits
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
@@ -134,7 +134,7 @@ class ByteBpe:
                     found.append(where)
             return heads[0]
 
-        post(sym[:-1], sym[1:], np.arange(n - 1))
+        post(sym[:-1], sym[1:], np.arange(n - 1, dtype=np.int32))
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -156,7 +156,7 @@ class ByteBpe:
             inner = before >= 0
             post(np.concatenate((sym[at], sym[before[inner]])), np.concatenate((sym[after], sym[at[inner]])), np.concatenate((at, before[inner])))
         left = sym >= 0
-        return sym[left].astype(np.int32), np.bincount(word[left], minlength=len(raw))
+        return sym[left], np.bincount(word[left], minlength=len(raw))
 
     def learn(self, new: list) -> None:
         """Put the ids of ``new`` keys of the memo, in its order, at the end of the store."""
@@ -190,7 +190,7 @@ class ByteBpe:
             found: list[int] = []
             for p in self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]:
                 found.extend([memo[self.special[p]]] if p in self.special else map(memo.__getitem__, self.pretokens(p)))
-            rows.append(np.array(found, np.int64))
+            rows.append(np.array(found, np.int32))
         if len(memo) > had:
             self.learn(list(islice(reversed(memo), len(memo) - had))[::-1])
         out = []

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -422,6 +423,18 @@ def test_language_id(spark):
 # 8
 
 
+def test_bpe_memory_follows_its_symbols():
+    mine, r = byte_bpe.ByteBpe(BPE), random.Random(8)
+    words = list({"".join(r.choices("abcdefghijklmnop", k=9)) for _ in range(20_000)})
+    tracemalloc.start()
+    try:
+        mine.merge_all(words)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 70 * sum(len(w) + 1 for w in words)
+
+
 def test_bpe_is_the_librarys(spark):
     from tokenizers import Tokenizer
 
