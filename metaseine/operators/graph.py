@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: The types that count as outputs, and those that only pass a link on.
 OUTPUT_PATTERN = r"(?i)save|preview|show|display|video_?combine|compar|websocket|writer"
 RELAY_NAMES = ("SetNode", "GetNode")
+#: Nodes of a name and side in one block, about; edges that one task makes, about.
+BLOCK = 2048
+TASK_EDGES = 1 << 23
 
 
 def is_output(kind: Column) -> Column:
@@ -26,11 +29,29 @@ def live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def named_edges(nodes: DataFrame) -> DataFrame:
-    """(graph, src, dst) from each node that sets a name to those of its graph that get it; of nodes (graph, node, type, name)."""
+    """(graph, src, dst) from each node that sets a name to those of its graph that get it; of nodes (graph, node, type, name).
+
+    The edges are counted first, name by name. Each side of a name is split into blocks by a hash of the node, and every block of one side meets every
+    block of the other in a cell of its own; cells are dealt to as many tasks as the edges need, so a few names that very many nodes share are work for all.
+    """
+    from ..sources.state import written
+
     setter, getter = RELAY_NAMES
-    sets = nodes.where(F.col("type") == setter).select("graph", "name", F.col("node").alias("src"))
-    gets = nodes.where(F.col("type") == getter).select("graph", "name", F.col("node").alias("dst"))
-    return sets.join(gets, ["graph", "name"]).select("graph", "src", "dst")
+    told = nodes.where(F.col("graph").isNotNull() & F.col("name").isNotNull() & F.col("type").isin(*RELAY_NAMES))
+    counts = told.groupBy("graph", "name").agg(F.count_if(F.col("type") == setter).alias("sets"), F.count_if(F.col("type") == getter).alias("gets"))
+    names = written(counts.where("sets > 0 and gets > 0"))
+    edges = names.agg(F.sum(F.col("sets").cast("double") * F.col("gets"))).first()[0] or 0
+    tasks = int(-(-edges // TASK_EDGES))
+
+    def dealt(kind: str, end: str, own: str, other: str) -> DataFrame:
+        """The nodes of a type, each in its block and once for each block of the other side."""
+        rows = names.join(told.where(F.col("type") == kind), ["graph", "name"])
+        block, others = F.pmod(F.xxhash64("node"), F.ceil(F.col(own) / BLOCK)), F.sequence(F.lit(1).cast("long"), F.ceil(F.col(other) / BLOCK))
+        cells = rows.select("graph", "name", (block + 1).alias(own), F.explode(others).alias(other), F.col("node").alias(end))
+        return cells.repartition(tasks, "graph", "name", "sets", "gets") if tasks > 1 else cells
+
+    sets, gets = dealt(setter, "src", "sets", "gets"), dealt(getter, "dst", "gets", "sets")
+    return sets.join(gets, ["graph", "name", "sets", "gets"]).select("graph", "src", "dst")
 
 
 def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:

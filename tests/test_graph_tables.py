@@ -50,6 +50,28 @@ def test_contraction_of_chains_and_cycles(spark):
     assert {tuple(x) for x in got.collect()} == want and (0, "a", "b") in want and got.count() == len(want)
 
 
+@pytest.mark.parametrize("block, edges", [(2048, 1 << 23), (3, 40), (1, 1)])
+def test_names_join_setters_to_getters(spark, monkeypatch, block, edges):
+    monkeypatch.setattr(graph, "BLOCK", block, raising=False)
+    monkeypatch.setattr(graph, "TASK_EDGES", edges, raising=False)
+    r = random.Random(5)
+    nodes = [(r.choice([0, 1, None]), r.choice([None, *map(str, range(90))]), r.choice(["SetNode", "GetNode", "GetNode", "Load", None]), r.choice(["a", "a", "a", "b", "", None])) for _ in range(600)]
+    nodes += [(2, "s", "SetNode", "a"), (2, "g", "GetNode", "b"), (3, "s", "SetNode", "a")]
+    want = [(g, s, d) for g, s, k, x in nodes if k == "SetNode" for h, d, m, y in nodes if m == "GetNode" and g == h is not None and x == y is not None]
+    got = graph.named_edges(spark.createDataFrame(nodes, "graph int, node string, type string, name string"))
+    assert got.columns == ["graph", "src", "dst"] and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) > 1000
+    none = graph.named_edges(spark.createDataFrame(nodes[-3:], "graph int, node string, type string, name string"))
+    assert none.collect() == []
+
+
+def test_one_name_is_work_for_many_tasks(spark):
+    """Also where all nodes are read by one task, as from a small file."""
+    kind = F.when(F.col("id") < 3000, "SetNode").otherwise("GetNode").alias("type")
+    nodes = spark.range(0, 13_000, 1, 1).select(F.lit(0).alias("graph"), F.col("id").cast("string").alias("node"), kind, F.lit("a").alias("name"))
+    shares = [x["count"] for x in graph.named_edges(nodes).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 3000 * 10_000 and max(shares) <= sum(shares) / 2
+
+
 def test_predicates_agree(spark):
     kinds = ["SaveImage", "my_PREVIEW", "VideoCombine", "video_combine", "Reroute (x)", "SetNode", "GetNode", "setnode", "Load", None, "WebSocketOut", "Comparer"]
     rows = spark.createDataFrame([(k,) for k in kinds], "k string").select("k", graph.is_output(F.col("k")).alias("o"), graph.is_relay(F.col("k")).alias("r")).collect()
